@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -32,6 +32,10 @@ from .shingles import WordHashes, mixed, split_words, windows
 
 #: Words in a shingle and least similarity (percent) unless a caller says otherwise.
 N, PERCENT = 5, 80
+#: A signature is common if it has so many rows in the sample, and this share of it; so there are 1 / share at most.
+SAMPLE, COMMON_ROWS, COMMON_SHARE = 1 / 64, 50, 1 / 20_000
+#: Copies whose ids may be broadcast.
+BROADCAST_IDS = 500_000
 #: Members of a leader in one block of the second comparison; cells of a sketch.
 BLOCK, CELLS = 1500, 128
 
@@ -45,8 +49,8 @@ class PartEnum:
     def __init__(self, percent: int) -> None:
         self.percent = percent
         self.low = [1]
-        #: Second level: differences allowed in a part, parts of a part. Chosen so that a signature covers some six elements or more.
-        self.k2, self.n2 = (1, 2) if percent >= 88 else (1, 3) if percent >= 78 else (2, 5)
+        #: Second level: differences allowed in a part, parts of a part. Lower similarities need larger subsets, or a signature covers too few elements.
+        self.k2, self.n2 = (1, 2) if percent >= 78 else (1, 3) if percent >= 65 else (2, 5)
         self.subsets = list(combinations(range(self.n2), self.n2 - self.k2))
 
     def _low(self, band: int) -> int:
@@ -80,7 +84,7 @@ class PartEnum:
         if not k:
             return 0, 0
         bad = k // (self.k2 + 1)
-        out = (bad + 1) // 12
+        out = (bad + 1) // 8
         return bad + 1 + 2 * out, out
 
     def __call__(self, elements: np.ndarray) -> np.ndarray:
@@ -99,7 +103,9 @@ class PartEnum:
             sums = (low + (high << np.uint64(32))).reshape(n1, self.n2)
             keep = np.arange(n1)
             if skip:
-                keep = np.argsort(np.bincount(cell, minlength=cells).reshape(n1, self.n2).sum(1), kind="stable")[skip:]
+                count = np.bincount(cell, minlength=cells).reshape(n1, self.n2)
+                poorest = np.min([count[:, chosen].sum(1) for chosen in self.subsets], axis=0)
+                keep = np.argsort(poorest, kind="stable")[skip:]
             for i, chosen in enumerate(self.subsets):
                 place = (keep.astype(np.uint64) * np.uint64(len(self.subsets) + 1) + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
                 out.append(mixed(sums[np.ix_(keep, chosen)].sum(1, dtype=np.uint64) + mixed(place)))
@@ -111,8 +117,27 @@ def shingle_set(hashes: WordHashes, text: str | None, n: int) -> np.ndarray:
     return np.unique(windows(hashes(split_words(text)), n))
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall into each cell, 255 at most. Cells' differences of two sets add up to the
+    sets' difference at most. There are CELLS cells, or a power of two up to the set's size."""
+    cells = max(CELLS, 1 << (max(len(elements), 1).bit_length() - 1))
+    return np.minimum(np.bincount((elements >> np.uint64(20)).astype(np.int64) % cells, minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def folded(s: bytes, cells: int) -> np.ndarray:
+    """A sketch brought down to fewer cells."""
+    x = np.frombuffer(s, np.uint8).astype(np.int32)
+    return x.reshape(-1, cells).sum(0) if len(x) > cells else x
+
+
+def far(a: bytes, b: bytes) -> int:
+    """A lower bound of two sets' difference."""
+    cells = min(len(a), len(b))
+    return int(np.abs(folded(a, cells) - folded(b, cells)).sum())
+
+
 def signed(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, digest (of the set, 128 bits) and sigs of each row; a task holds one batch."""
+    """id, n_shingles, digest (of the set, 128 bits), sketch and sigs of each row; a task holds one batch."""
     kind = to_arrow_type(df.schema[doc_id].dataType)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,21 +145,22 @@ def signed(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataF
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                sizes, digests, sigs = [], [], []
+                sizes, digests, sigs, sketches = [], [], [], []
                 for t in part.column(1):
                     s = shingle_set(hashes, t.as_py(), n)
                     sizes.append(len(s))
+                    sketches.append(sketch(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sigs.append(sign(s).view(np.int64))
                 ends = np.cumsum([0, *map(len, sigs)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "n_shingles", "digest", "sigs"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), lists], ["id", "n_shingles", "digest", "sketch", "sigs"])
 
-    return df.select(doc_id, text).mapInArrow(rows, f"id {df.schema[doc_id].dataType.simpleString()}, n_shingles long, digest binary, sigs array<long>")
+    return df.select(doc_id, text).mapInArrow(rows, f"id {df.schema[doc_id].dataType.simpleString()}, n_shingles long, digest binary, sketch binary, sigs array<long>")
 
 
 def sets_of(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """id, shingle set and sketch (how many elements fall into each cell, 255 at most) of each row."""
+    """id and shingle set of each row."""
     kind = to_arrow_type(df.schema[doc_id].dataType)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +169,30 @@ def sets_of(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 sets = [shingle_set(hashes, t.as_py(), n) for t in part.column(1)]
-                ends = np.cumsum([0, *map(len, sets)])
-                sketches = [np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), lists, pa.array(sketches, pa.binary())], ["id", "shingles", "sketch"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), lists], ["id", "shingles"])
+
+    return df.select(doc_id, text).mapInArrow(rows, f"id {df.schema[doc_id].dataType.simpleString()}, shingles array<long>")
+
 
-    return df.select(doc_id, text).mapInArrow(rows, f"id {df.schema[doc_id].dataType.simpleString()}, shingles array<long>, sketch binary")
+def shared(rows: DataFrame, total: int) -> DataFrame:
+    """Pairs (u, v): the smallest id of each signature and every other id that has it. rows: sig, id.
+
+    Signatures meet in one shuffle. Common ones, found in a sample and few by their definition, don't
+    go through it: their smallest ids are found by sums of tasks and joined by broadcast. The sample
+    decides only the way, not the result."""
+    least = max(COMMON_ROWS, total * SAMPLE * COMMON_SHARE)
+    common = stage(rows.sample(SAMPLE, seed=1).groupBy("sig").count().where(F.col("count") >= least).select("sig"), "common")
+    rare = rows
+    if some := common.count():
+        rare = rows.join(F.broadcast(common), "sig", "left_anti")
+    sig = Window.partitionBy("sig")
+    pairs = rare.withColumns({"u": F.min("id").over(sig), "z": F.max("id").over(sig)}).where("u <> z").select("u", F.col("id").alias("v"))
+    if some:
+        often = rows.join(F.broadcast(common), "sig", "left_semi")
+        lead = stage(often.groupBy("sig").agg(F.min("id").alias("u")), "leaders")
+        pairs = pairs.unionByName(often.join(F.broadcast(lead), "sig").select("u", F.col("id").alias("v")))
+    return pairs.where("u <> v").distinct()
 
 
 def near(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
@@ -159,10 +203,10 @@ def near(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("u_sketch", "v_sketch")]
             size = [b.column(c).to_numpy() for c in ("u_size", "v_size")]
-            ok = np.abs(cells[0] - cells[1]).sum(1) * (100 + percent) <= (size[0] + size[1]) * (100 - percent)
-            ok &= np.minimum(*size) * 100 >= np.maximum(*size) * percent
+            ok = np.minimum(*size) * 100 >= np.maximum(*size) * percent
+            for i in np.nonzero(ok)[0]:
+                ok[i] = far(b.column("u_sketch")[i].as_py(), b.column("v_sketch")[i].as_py()) * (100 + percent) <= (size[0][i] + size[1][i]) * (100 - percent)
             yield b.select(["u", "v"]).filter(pa.array(ok))
 
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch").mapInArrow(keep, schema)
@@ -195,7 +239,8 @@ def apart(groups: DataFrame, percent: int) -> DataFrame:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         block = t.column("b").to_numpy()
         nodes, component, size = (t.column(c).to_numpy() for c in ("node", "component", "size"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        whole = t.column("sketch").to_pylist()
+        cells = np.array([folded(x, CELLS) for x in whole]).reshape(-1, CELLS)
         left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
         us, vs = [], []
         for x in left:
@@ -203,7 +248,8 @@ def apart(groups: DataFrame, percent: int) -> DataFrame:
             y = y[component[y] != component[x]]
             few, many = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
             y = y[few * 100 >= many * percent]
-            y = y[np.abs(sketch[y] - sketch[x]).sum(1) * (100 + percent) <= (size[y] + size[x]) * (100 - percent)]
+            y = y[np.abs(cells[y] - cells[x]).sum(1) * (100 + percent) <= (size[y] + size[x]) * (100 - percent)]
+            y = np.array([v for v in y if far(whole[v], whole[x]) * (100 + percent) <= (size[v] + size[x]) * (100 - percent)], np.int64)
             us.append(np.full(len(y), nodes[x]))
             vs.append(nodes[y])
         return pa.table({"u": pa.array(np.concatenate(us) if us else [], kind), "v": pa.array(np.concatenate(vs) if vs else [], kind)})
@@ -225,32 +271,30 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     base = stage(signed(df, doc_id, text, n, percent), "signatures")
     named = base.where("id IS NOT NULL AND n_shingles > 0")
     classes = named.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = stage(named.select("id", "digest").join(classes, "digest").where("id <> rep").select("id", "digest", "rep"), "copies")
-    fold = copies.select("id", "rep").distinct()
-    # signatures of two documents or more; sums of tasks meet, so a common one is no large group
-    rows = named.select(F.explode("sigs").alias("sig"), "id")
-    shared = rows.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("sig")
-    members = rows.join(shared, "sig").join(fold, "id", "left").select("sig", F.coalesce("rep", "id").alias("node"))
-    members = stage(members.distinct(), "members")
-    lead = members.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("z")).where("leader <> z").select("sig", "leader")
-    pairs = members.join(lead, "sig").where("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    pairs = stage(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(nodes, "id", "left_semi")
-    sets = stage(sets_of(texts, "id", "text", n), "sets")
+    copies = stage(named.select("id", "digest").join(classes, "digest").where("id <> rep").select("id", "digest", "rep").distinct(), "copies")
+    out_ = copies.select(F.col("id").alias("_i"), F.col("digest").alias("_d"))
+    if copies.count() <= BROADCAST_IDS:
+        out_ = F.broadcast(out_)
+    reps = named.join(out_, (F.col("id") == F.col("_i")) & (F.col("digest") == F.col("_d")), "left_anti")
+    total = named.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    pairs = stage(shared(reps.select(F.explode("sigs").alias("sig"), "id"), total), "pairs")
+    sized = named.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "sketch")
+    texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+
+    def checked(candidates: DataFrame) -> DataFrame:
+        ids = candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct()
+        return links(candidates, stage(sets_of(texts.join(ids, "id", "left_semi"), "id", "text", n), "sets"), percent)
+
     # an id with several texts stands for all of them
-    again = base.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
+    again = named.groupBy("id").count().where("count > 1").select("id")
     same = copies.join(again, "id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    sized = sets.select(F.col("id").alias("node"), F.size("shingles").cast("long").alias("size"), "sketch")
-    close = stage(near(pairs, sized, percent), "close")
-    first = stage(links(close, sets, percent).unionByName(same).distinct(), "first")
+    first = stage(checked(stage(near(pairs, sized, percent), "close")).unionByName(same).distinct(), "first")
     labels = connected_components(first)
     each = pairs.select(F.col("u").alias("leader"), F.col("v").alias("node")).unionByName(pairs.select(F.col("u").alias("leader"), F.col("u").alias("node")).distinct())
     groups = each.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("component")).join(sized, "node")
-    rest = stage(apart(groups, percent), "rest")
-    more = links(rest, sets, percent)
+    more = checked(stage(apart(groups, percent), "rest"))
     labels = stage(connected_components(first.unionByName(more)), "labels")
-    out = base.join(copies.select(F.col("digest").alias("_d"), F.col("id").alias("_i"), "rep").distinct(), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("_i")), "left")
+    out = base.join(copies.select(F.col("digest").alias("_d"), F.col("id").alias("_i"), "rep"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("_i")), "left")
     out = out.select("id", "n_shingles", F.coalesce("rep", "id").alias("node"))
     return out.join(labels, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
 
