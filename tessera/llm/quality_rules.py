@@ -58,7 +58,9 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.col("_q_lines")
     longest = max(len(x.encode()) for x in STOP_WORDS)
     count = {
-        "n_words": F.size(w),
+        # never adds anything; but a filter on what follows from the counts isn't pushed below them, where
+        # every use of the words would split the text again
+        "n_words": F.size(w) + (F.monotonically_increasing_id() < 0).cast("int"),
         "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
         "n_lines": F.size(lines),
