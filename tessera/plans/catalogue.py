@@ -1,4 +1,246 @@
 """All queries by name, with the SQL twins that DuckDB runs."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import compare, dedup, metrics, packaging, retrieval
+from tessera.sources.tables import EVAL_SQL, eval_results, table
+from tessera.streaming import best
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_SUMMARY = "count(*) AS n, count(*) FILTER (accepted) AS n_accepted, round_even(avg(score), 1) AS avg_score"
+_METRICS = f"""{_SUMMARY}, min(score) AS min_score, max(score) AS max_score, round_even(avg(compile_passed::INT), 3) AS compile_rate,
+  round_even(avg(runtime_passed::INT), 3) AS runtime_rate, round_even(avg(accepted::INT), 3) AS accepted_rate,
+  coalesce(round_even(avg(latency_ms) FILTER (latency_ms > 0), 0), 0)::BIGINT AS latency_avg, coalesce(min(latency_ms) FILTER (latency_ms > 0), 0) AS latency_min, coalesce(max(latency_ms) FILTER (latency_ms > 0), 0) AS latency_max"""
+_RUNS = EVAL_SQL + """,
+u AS (SELECT model, run_id, count(*) AS tasks, count(*) FILTER (accepted) AS accepted, avg(score) AS avg_score, avg(compile_passed::INT) AS compile_rate, avg(runtime_passed::INT) AS runtime_rate FROM r GROUP BY ALL),
+p AS (SELECT *, lag(run_id) OVER (PARTITION BY model ORDER BY run_id) AS previous_run FROM u)"""
+_FIRST_TWO = ("m0_20240101", "m0_20240102")
+
+
+@query(f"{EVAL_SQL} SELECT topic, {_METRICS} FROM r GROUP BY topic")
+def run_metrics_by_topic(spark, sf_dir):
+    return metrics.run_metrics(eval_results(spark, sf_dir), "topic")
+
+
+@query(f"{EVAL_SQL} SELECT run_id, {_METRICS} FROM r GROUP BY run_id")
+def run_metrics_by_run(spark, sf_dir):
+    return metrics.run_metrics(eval_results(spark, sf_dir), "run_id")
+
+
+@query(f"{EVAL_SQL} SELECT topic, difficulty, {_SUMMARY} FROM r GROUP BY GROUPING SETS ((topic), (difficulty), ())")
+def topic_and_difficulty(spark, sf_dir):
+    return metrics.topic_and_difficulty(eval_results(spark, sf_dir))
+
+
+@query(f"""{EVAL_SQL} SELECT run_id, bucket, (SELECT count(*) FROM r WHERE r.run_id = x.run_id AND score BETWEEN lo AND hi) AS n
+FROM (SELECT DISTINCT run_id FROM r) x, (VALUES ('90-100', 90, 1000), ('70-89', 70, 89), ('60-69', 60, 69), ('0-59', 0, 59)) b(bucket, lo, hi)""")
+def score_histogram(spark, sf_dir):
+    return metrics.score_histogram(eval_results(spark, sf_dir), "run_id")
+
+
+@query(f"""{EVAL_SQL} SELECT topic, {_SUMMARY}, count(*) FILTER (score < 60) AS n_low, count(*) FILTER (NOT compile_passed) AS n_compile_failed, count(*) FILTER (NOT runtime_passed) AS n_runtime_failed
+FROM r GROUP BY topic HAVING avg(accepted::INT) < 0.8 OR min(score) < 70""")
+def weak_topics(spark, sf_dir):
+    return metrics.weak_topics(eval_results(spark, sf_dir))
+
+
+@query(f"{EVAL_SQL} SELECT run_id, round_even(min(rate), 3) AS min_acceptance FROM (SELECT run_id, topic, avg(accepted::INT) AS rate FROM r GROUP BY ALL) GROUP BY run_id")
+def min_topic_acceptance(spark, sf_dir):
+    return metrics.min_topic_acceptance(eval_results(spark, sf_dir), "run_id")
+
+
+@query(f"{EVAL_SQL} SELECT model, sum(tasks)::BIGINT AS tasks, round_even(sum(a * tasks) / sum(tasks), 2) AS avg_score FROM (SELECT model, run_id, count(*) AS tasks, round_even(avg(score), 2) AS a FROM r GROUP BY ALL) GROUP BY model")
+def weighted_mean(spark, sf_dir):
+    return metrics.weighted_mean(eval_results(spark, sf_dir))
+
+
+@query(f"{EVAL_SQL} SELECT model, id, count(*) AS runs, max(score) - min(score) AS score_range FROM r GROUP BY model, id HAVING count(*) >= 2 AND max(score) - min(score) > 5")
+def flaky_tasks(spark, sf_dir):
+    return metrics.flaky_tasks(eval_results(spark, sf_dir))
+
+
+@query(f"""{EVAL_SQL} SELECT topic, label, count(*) AS n FROM (SELECT topic, CASE WHEN NOT compile_passed THEN 'syntax_error' WHEN NOT runtime_passed AND score > 50 THEN 'io_format_error'
+WHEN NOT runtime_passed THEN 'logic_error' ELSE 'runtime_error' END AS label FROM r WHERE NOT accepted) GROUP BY ALL""")
+def failure_labels(spark, sf_dir):
+    return metrics.failures(eval_results(spark, sf_dir))
+
+
+@query(f"""{EVAL_SQL} SELECT id, coalesce(b.score, 0) AS base_score, coalesce(n.score, 0) AS new_score, CASE WHEN b.accepted AND NOT coalesce(n.accepted, false) THEN 'newly_broken'
+WHEN NOT coalesce(b.accepted, false) AND n.accepted THEN 'newly_fixed' WHEN b.accepted THEN 'unchanged_pass' ELSE 'unchanged_fail' END AS change
+FROM (SELECT * FROM r WHERE run_id = '{_FIRST_TWO[0]}') b FULL JOIN (SELECT * FROM r WHERE run_id = '{_FIRST_TWO[1]}') n USING (id)""")
+def run_diff(spark, sf_dir):
+    r = eval_results(spark, sf_dir)
+    return compare.run_diff(*[r.where(F.col("run_id") == x) for x in _FIRST_TWO])
+
+
+@query(f"{EVAL_SQL} SELECT b.id, b.score AS base_score, n.score AS new_score, n.score - b.score AS delta FROM r b JOIN r n USING (id) WHERE b.run_id = '{_FIRST_TWO[0]}' AND n.run_id = '{_FIRST_TWO[1]}'")
+def task_deltas(spark, sf_dir):
+    r = eval_results(spark, sf_dir)
+    return compare.task_deltas(*[r.where(F.col("run_id") == x) for x in _FIRST_TWO])
+
+
+@query(f"""{_RUNS},
+d AS (SELECT p.model, p.run_id, p.previous_run, p.accepted - b.accepted AS accepted_delta, round_even(p.avg_score - b.avg_score, 1) AS avg_delta, round_even(p.compile_rate - b.compile_rate, 3) AS compile_delta,
+      round_even(p.runtime_rate - b.runtime_rate, 3) AS runtime_delta FROM p JOIN u b ON b.run_id = p.previous_run),
+t AS (SELECT to_run, count(*) FILTER (coalesce(a0, false) AND NOT coalesce(a1, false)) AS newly_broken, count(*) FILTER (s1 - s0 < -20) AS big_drops FROM
+      (SELECT d.run_id AS to_run, id, score AS s1, accepted AS a1 FROM r JOIN d USING (run_id)) FULL JOIN (SELECT d.run_id AS to_run, id, score AS s0, accepted AS a0 FROM r JOIN d ON r.run_id = d.previous_run) USING (to_run, id) GROUP BY to_run),
+v AS (SELECT d.*, newly_broken, big_drops, accepted_delta < 0 OR avg_delta < -1 OR compile_delta < 0 OR runtime_delta < 0 OR newly_broken > 0 OR big_drops > 0 AS worse, newly_broken = 0 AND (accepted_delta > 0 OR avg_delta >= 1) AS better FROM d JOIN t ON to_run = run_id)
+SELECT * EXCLUDE (worse, better), CASE WHEN worse AND better THEN 'manual_review' WHEN worse THEN 'regression' WHEN better THEN 'improvement' ELSE 'pass' END AS verdict FROM v""")
+def regression_verdicts(spark, sf_dir):
+    return compare.regressions(eval_results(spark, sf_dir))
+
+
+@query(f"{_RUNS} SELECT model, run_id, previous_run FROM p")
+def previous_run(spark, sf_dir):
+    return compare.previous_run(compare.runs_of(eval_results(spark, sf_dir))).select("model", "run_id", "previous_run")
+
+
+@query(f"""{_RUNS}, t AS (SELECT model, count(*) AS run_count, min(run_id) AS first_run, max(run_id) AS latest_run, arg_min(round_even(avg_score, 1), run_id) AS first_avg, arg_max(round_even(avg_score, 1), run_id) AS latest_avg FROM u GROUP BY model)
+SELECT *, CASE WHEN run_count < 2 THEN 'insufficient_history' WHEN latest_avg - first_avg > 1 THEN 'improving' WHEN latest_avg - first_avg < -1 THEN 'declining' ELSE 'flat' END AS trend FROM t""")
+def model_trend(spark, sf_dir):
+    return compare.trend(compare.runs_of(eval_results(spark, sf_dir)))
+
+
+@query(f"{_RUNS} SELECT model, run_id, row_number() OVER (PARTITION BY model ORDER BY run_id DESC) AS n FROM u QUALIFY n <= 2")
+def latest_two_runs(spark, sf_dir):
+    return compare.latest_two(compare.runs_of(eval_results(spark, sf_dir)))
+
+
+@query(f"{_RUNS} SELECT row_number() OVER (ORDER BY round_even(avg_score, 1) DESC, accepted DESC, run_id DESC) AS rank, run_id, model, round_even(avg_score, 1) AS avg_score, accepted FROM u QUALIFY rank <= 10")
+def leaderboard(spark, sf_dir):
+    return compare.leaderboard(compare.runs_of(eval_results(spark, sf_dir)))
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, min(event_id) AS first_seq FROM events GROUP BY ALL")
+def dedup_last_value(spark, sf_dir):
+    return dedup.last_value_first_place(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "value", "first_seq")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1")
+def dedup_best_first(spark, sf_dir):
+    return dedup.keep_first(table(spark, sf_dir, "events"), ["user_id", "event_type"], F.desc("value"), "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT doc_id, first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first")
+def duplicate_texts(spark, sf_dir):
+    keyed = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    return dedup.duplicates(keyed, "key", "doc_id").select("doc_id", F.col("first_line").alias("first"))
+
+
+@query("""SELECT user_id, event_id, value, best, coalesce(value >= before, true) AS is_best FROM (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best,
+max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)""")
+def running_best(spark, sf_dir):
+    return dedup.running_best(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
+
+
+@query("SELECT user_id, max(value) AS best, max(event_id) FILTER (value = m) AS seq, count(*) AS attempts FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY user_id")
+def best_attempts(spark, sf_dir):
+    return best.best_so_far(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
+
+
+_TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[\\x{4e00}-\\x{9fff}]'), lambda x: lower(x))"
+_POSTINGS = f"WITH t AS (SELECT doc_id AS passage, unnest({_TOKENS}) AS token FROM documents), i AS (SELECT passage, token, count(*) AS tf FROM t GROUP BY ALL)"
+
+
+@query(f"{_POSTINGS} SELECT token, count(*) AS df FROM i GROUP BY token")
+def document_frequency(spark, sf_dir):
+    return retrieval.document_frequency(retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query(f"""{_POSTINGS}, q AS (SELECT item_id AS query, token, count(*) AS weight FROM (SELECT item_id, unnest({_TOKENS}) AS token FROM benchmark) GROUP BY ALL),
+f AS (SELECT token, count(*) AS df FROM i GROUP BY token), n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT query, passage, round_even(sum(weight * (ln((n + 1) / (df + 0.5)) + 1) * tf / (tf + 1.2::DOUBLE)), 4) AS score FROM q JOIN i USING (token) JOIN f USING (token), n GROUP BY ALL)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank, passage, score FROM s WHERE score > 0 QUALIFY rank <= 5""")
+def search_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return retrieval.search(retrieval.postings(docs, "doc_id", "text"), docs.count(), table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query("SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 6000")
+def pack_context(spark, sf_dir):
+    return retrieval.pack_context(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 6000).select("source", "doc_id", "used")
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def latest_user_text(spark, sf_dir):
+    return packaging.latest_user_text(table(spark, sf_dir, "conversations"))
+
+
+_TURN_TOKENS = "(octet_length(encode(coalesce(text, ''))) // 4 + 1)::BIGINT"
+
+
+@query(f"""WITH t AS (SELECT *, {_TURN_TOKENS} AS tokens FROM conversations),
+x AS (SELECT *, count(*) OVER w AS n, sum(tokens) OVER w AS total, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM t WINDOW w AS (PARTITION BY conv_id))
+SELECT conv_id, turn, role, tokens, CASE WHEN n > 4 AND total >= 200 THEN n - 4 ELSE 0 END AS removed FROM x WHERE NOT (n > 4 AND total >= 200) OR back <= 4""")
+def compact_conversations(spark, sf_dir):
+    return packaging.compact(table(spark, sf_dir, "conversations"))
+
+
+@query(f"SELECT conv_id, turn, {_TURN_TOKENS} AS tokens, (sum({_TURN_TOKENS}) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS total FROM conversations")
+def usage_totals(spark, sf_dir):
+    return packaging.usage_totals(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
+def chat_messages(spark, sf_dir):
+    chat = packaging.chat(table(spark, sf_dir, "conversations"))
+    return chat.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("chat"))
+
+
+@query("SELECT CASE WHEN year(o_orderdate) = 1997 THEN 'val' WHEN year(o_orderdate) = 1998 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM orders GROUP BY 1")
+def year_split(spark, sf_dir):
+    label = packaging.split_label(F.year("o_orderdate"), [1997], [1998])
+    return table(spark, sf_dir, "orders").groupBy(label.alias("split")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'text empty' END, CASE WHEN lang IS NULL OR lang NOT IN ('en', 'de', 'fr') THEN 'invalid lang' END,
+CASE WHEN n_chars < 200 THEN 'too short' END], lambda x: x IS NOT NULL), '; ') AS issues FROM documents""")
+def validate_records(spark, sf_dir):
+    rules = [("text empty", F.trim(F.coalesce("text", F.lit(""))) == ""), ("invalid lang", F.col("lang").isNull() | ~F.col("lang").isin("en", "de", "fr")), ("too short", F.col("n_chars") < 200)]
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(packaging.issues(rules), "; ").alias("issues"))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) OR d.lang = 'en'")
+def accepted_or_english(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return packaging.accepted_or(table(spark, sf_dir, "documents"), good, "doc_id", F.col("lang") == "en").select("doc_id")
+
+
+def _entities(x: str) -> str:
+    for entity, sign in T.ENTITIES:
+        x = f"replace({x}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT page_id, {_entities("replace(regexp_replace(html, '<[^>]*(>|\\z)', '', 'g'), '>', '')")} AS text,
+nullif({_entities("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, '') AS title FROM pages""")
+def page_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"), T.title(F.col("html")).alias("title"))
+
+
+@query("""SELECT item_id, CASE WHEN length(text) > 40 THEN rtrim(text[:40]) || '…' ELSE text END AS preview, greatest(1, length(text) // 5)::BIGINT AS tokens, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+CASE WHEN regexp_matches(lower(text), '\\b(triangle|area|coordinates?)\\b') OR regexp_matches(lower(text), 'geometry|heron|collinear') THEN 'geometry' WHEN regexp_matches(lower(text), 'game simulation|guess|points|win|random') THEN 'game_simulation'
+WHEN regexp_matches(lower(text), 'pattern|stars|pyramid|diamond|rows') THEN 'pattern_generation' WHEN regexp_matches(lower(text), 'series|sum|factorial|rational') THEN 'series_calculation' ELSE 'unknown' END AS topic,
+round_even((contains(lower(text), 'how')::INT + contains(lower(text), 'many')::INT + contains(lower(text), 'total')::INT) / 3.0::DOUBLE, 3) AS keyword_score FROM benchmark""")
+def text_functions(spark, sf_dir):
+    x = F.col("text")
+    keyword = T.keyword_score(x, ["how", "many", "total"])
+    return table(spark, sf_dir, "benchmark").select("item_id", T.preview(x, 40).alias("preview"), T.estimated_tokens(x).alias("tokens"), T.slug(x).alias("slug"), T.topic_of(x).alias("topic"), keyword.alias("keyword_score"))
