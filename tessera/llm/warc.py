@@ -4,7 +4,8 @@ The writer makes one gzip member per record and lets Spark's text sink write the
 output is committed by Spark and needs only Spark's file systems: members are joined by an empty
 member, which is valid gzip. The reader checks every record (length, end mark, digest). After a
 failed check it searches for the next gzip member or version line that holds a valid record, goes on
-there, and logs the bytes between as a quarantined gap.
+there, and logs the bytes between as a quarantined gap. The same search runs inside a member: of one
+with a damaged record, or one that is cut off or fails its checksum, the records that can be read are kept.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ MIN_REVISIT_BYTES = 100
 BROADCAST_DIGESTS = 100_000
 #: Records in a file at most: the reader holds one file in memory.
 RECORDS_PER_FILE = 2_000
+#: Largest file that is read; a larger one fails the read with a message, it is never passed over.
+MAX_FILE_BYTES = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000002ff03000000000000000000")
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]+\.[0-9]+\r?\n")
-_RECORDS = "file string, start bigint, end bigint, gap string, type string, record_id string, refers_to string, uri string, payload_bytes bigint, payload_digest string, payload binary"
+_RECORDS = "file string, start bigint, end bigint, gap string, type string, record_id string, refers_to string, uri string, payload_bytes bigint, payload_digest string, header_digest string, payload binary"
 
 
 def _urn(x) -> str:
@@ -129,55 +132,93 @@ def _payload(head: dict, block: bytes) -> bytes:
     return body
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    """The end and content of the gzip member at a place. Raises Damaged."""
+def _member(data: bytes, at: int) -> tuple[int | None, bytes, str | None]:
+    """End, content and fault of the gzip member at a place. With a fault there is no end, and the content
+    is what comes out before it."""
     d, pos, out = zlib.decompressobj(31), at, []
-    try:
-        while not d.eof and pos < len(data):
+    while not d.eof and pos < len(data):
+        before = d.copy()
+        try:
             out.append(d.decompress(data[pos : pos + 65536]))
-            pos += 65536
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
+        except zlib.error as e:
+            for k in range(pos, min(pos + 65536, len(data))):  # up to the byte that fails
+                try:
+                    out.append(before.decompress(data[k : k + 1]))
+                except zlib.error:
+                    break
+            return None, b"".join(out), f"gzip: {e}"
+        pos += 65536
     if not d.eof:
-        raise Damaged("gzip member doesn't end")
-    return min(pos, len(data)) - len(d.unused_data), b"".join(out)
+        return None, b"".join(out), "gzip member doesn't end"
+    return min(pos, len(data)) - len(d.unused_data), b"".join(out), None
 
 
-def _take(data: bytes, at: int) -> tuple[int, list[tuple[dict, bytes]]]:
-    """All records of the member, or the one record, at a place, each checked."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        end, head, block = _parse(data, at)
-        return end, [(head, _payload(head, block))]
-    end, plain = _member(data, at)
+def _record(data: bytes, at: int) -> tuple[int, dict, bytes]:
+    end, head, block = _parse(data, at)
+    return end, head, _payload(head, block)
+
+
+def _inside(plain: bytes) -> list[tuple[str | None, dict, bytes]]:
+    """Records of a member's content, and the reasons of the gaps between them."""
     pos, found = 0, []
     while pos < len(plain):
-        pos, head, block = _parse(plain, pos)
-        found.append((head, _payload(head, block)))
-    return end, found
+        try:
+            end, head, body = _record(plain, pos)
+            found.append((None, head, body))
+        except Damaged as e:
+            end = pos + 1
+            while m := _VERSION.search(plain, end):
+                end = m.start()
+                try:
+                    _record(plain, end)
+                    break
+                except Damaged:
+                    end += 1
+            else:
+                end = len(plain)
+            found.append((f"{e}; decompressed bytes {pos} to {end} of the member", {}, b""))
+        pos = end
+    return found
+
+
+def _take(data: bytes, at: int) -> tuple[int | None, list[tuple[str | None, dict, bytes]], str | None]:
+    """End, records (and gaps) and fault of the member or the record at a place. Raises Damaged if no record can be read."""
+    if data[at : at + 2] != b"\x1f\x8b":
+        end, head, body = _record(data, at)
+        return end, [(None, head, body)], None
+    end, plain, fault = _member(data, at)
+    found = _inside(plain)
+    if (found or fault) and all(why for why, _, _ in found):
+        raise Damaged(fault or found[0][0])
+    return end, found, fault
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict, bytes]]:
-    """(start, end, reason, headers, payload) of every record, and of every gap: with a reason and without headers."""
+    """(start, end, reason, headers, payload) of every record, and of every gap: with a reason and without headers.
+
+    Start and end are places in data. A record inside a member has those of the member; a gap inside one
+    has them too, and its reason tells the decompressed bytes."""
     at = 0
     while at < len(data):
         try:
-            end, found = _take(data, at)
+            end, found, fault = _take(data, at)
         except Damaged as e:
-            start, why = at, str(e)
-            while True:
-                m = _START.search(data, at + 1)
-                at = m.start() if m else len(data)
-                if not m:
-                    break
+            end, found, fault = None, [], str(e)
+        if end is None:
+            end = at
+            while m := _START.search(data, end + 1):
+                end = m.start()
                 try:
-                    _take(data, at)
+                    _take(data, end)
                     break
                 except Damaged:
                     pass
-            yield start, at, why, {}, b""
-            continue
-        for head, body in found:
-            yield at, end, None, head, body
+            else:
+                end = len(data)
+        for why, head, body in found:
+            yield at, end, why, head, body
+        if fault:
+            yield at, end, fault, {}, b""
         at = end
 
 
@@ -185,9 +226,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     """Records and gaps of the archives (plain or gzip) below path.
 
     Columns: file, start, end (bytes in the file), gap (why the bytes are quarantined; null for a
-    record), type, record_id, refers_to, uri, payload_bytes, payload_digest, payload (null unless asked
-    for). Digest and length are of the bytes read; a revisit has those of its empty block. Damaged
-    bytes never fail the job. A task holds one file at a time.
+    record), type, record_id, refers_to, uri, payload_bytes, payload_digest, header_digest, payload (null
+    unless asked for). Digest and length are of the bytes read; a revisit has those of its empty block, and
+    header_digest is what the record says of its full payload. Damaged bytes never fail the job. A task holds
+    one file at a time; a file of more than MAX_FILE_BYTES fails the read. Repeated records are repeated rows.
     """
     schema = to_arrow_schema(StructType.fromDDL(_RECORDS))
 
@@ -204,10 +246,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                 for start, end, why, head, body in salvage(b.column(1)[k].as_py()):
                     if why is None:
                         digest = hashlib.sha256(body).hexdigest()
-                        out.append((name, start, end, None, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), len(body), digest, body if payload else None))
+                        out.append((name, start, end, None, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), len(body), digest, re.sub("^sha256:", "", head["warc-payload-digest"]) if "warc-payload-digest" in head else None, body if payload else None))
                         held += len(body) if payload else 0
                     else:
-                        out.append((name, start, end, why, *[None] * 7))
+                        out.append((name, start, end, why, *[None] * 8))
                     if len(out) >= 1000 or held > 8_000_000:
                         yield full()
                         out, held = [], 0
@@ -215,7 +257,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
             yield full()
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInArrow(rows, _RECORDS)
+    large = F.raise_error(F.concat(F.lit(f"over {MAX_FILE_BYTES} bytes: "), "path"))
+    files = files.select("path", F.when(F.col("length") > MAX_FILE_BYTES, large.cast("binary")).otherwise(F.col("content")).alias("content"))
+    return files.mapInArrow(rows, _RECORDS)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,10 +268,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(pages, path)
     kind = pages.schema["page_id"].dataType
     number = lambda c: F.when(F.col(c) != _urn(None), F.regexp_extract(c, "^<urn:page:(.*)>$", 1)).cast(kind)
-    read = read_warc(spark, path, payload=False).where("gap IS NULL").select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_digest")
-    whole = read.where("type = 'response'").groupBy(F.col("page_id").alias("_id")).agg(F.max_by(F.struct("payload_bytes", "payload_digest"), "payload_bytes").alias("_full"))
-    revisits = read.where("type = 'revisit'").join(whole, F.col("refers_to") == F.col("_id")).select("page_id", "type", "refers_to", F.col("_full.payload_bytes").alias("payload_bytes"), F.col("_full.payload_digest").alias("payload_digest"))
-    both = read.where("type = 'response'").unionByName(revisits)
+    read = read_warc(spark, path, payload=False).where("gap IS NULL").select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "header_digest")
+    full = read.where("type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
+    revisits = read.where("type = 'revisit'").join(full, (F.col("refers_to") == F.col("_id")) & (F.col("header_digest") == F.col("_digest"))).select("page_id", "type", "refers_to", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"))
+    both = read.where("type = 'response'").drop("header_digest").unionByName(revisits)
     return both.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
