@@ -2,8 +2,8 @@
 
 Base patterns give spans in every text. Hashes of all candidates (base ones and further credential
 shapes) are aggregated by distinct repositories and owners over the whole corpus: a value held by
-many owners is a copied example, one held by a single owner looks live. Further shapes become spans
-only where they look live. Spark expressions only: no user functions.
+many owners, or in very many repositories, is a copied example; one held by few looks live. Further
+shapes become spans only where they look live. Spark expressions only: no user functions.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ BASE = [
     ("access", "AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", "[0-9a-f]{24,}", 0, 24),
 ]
-#: Further shapes: published token prefixes, signed tokens, key headers; and long mixed strings.
+#: Further shapes: published token prefixes, signed tokens, whole private key blocks (header to end line, as headers are
+#: the same in all keys); and long mixed strings.
 EXTRA = [
-    ("key", "gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----", None),
+    ("key", "gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-[^-]+){0,9}-----END [A-Z ]*PRIVATE KEY-----", None),
     ("mixed", "[A-Za-z0-9+_=-]{24,}", ("[0-9]", "[A-Z]", "[a-z]")),
 ]
-#: Owners that share a value from which on it counts as an example.
-EXAMPLE_OWNERS = 3
+#: A value counts as an example from so many owners, or so many repositories, on; below both it looks live.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 100
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,hash:string>>"
 
 
@@ -64,10 +65,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return found.groupBy("_hash", "_owner", "_repo").count().groupBy("_hash").agg(F.count_distinct("_repo").alias("_n_repos"), F.count_distinct("_owner").alias("_n_owners"))
 
 
+def example(n_owners: Column, n_repos: Column) -> Column:
+    return (n_owners >= EXAMPLE_OWNERS) | (n_repos >= EXAMPLE_REPOS)
+
+
 def secret_scan(df: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """df without its text, with spans (array of start, rank, end, kind, hash, n_repos, n_owners), sorted.
 
-    All base spans and, of the further shapes, those whose value has one owner. A null text is empty
+    All base spans and, of the further shapes, those whose value looks live: fewer than EXAMPLE_OWNERS
+    owners and fewer than EXAMPLE_REPOS repositories hold it, so a copy or two of a document don't hide its
+    credentials. A null text is empty
     and has no spans; null owners count as one owner, null repositories as one. Repeated rows are
     scanned one by one; the same value in them counts once per repository. An empty table gives an
     empty one. Columns of df that start with an underscore as the inner ones do, or are named spans,
@@ -78,7 +85,7 @@ def secret_scan(df: DataFrame, text: str = "text", repo: str = "doc_id", owner:
     named = candidates(df, text).select(*keep, F.coalesce(F.col(repo).cast("string"), null).alias("_repo"), F.coalesce(F.col(owner).cast("string"), null).alias("_owner"), "_base", "_extra")
     rows = stage(named.withColumn("_rid", F.monotonically_increasing_id()), "secrets")
     each = rows.select("_rid", "_repo", "_owner", F.explode(F.concat("_base", "_extra")).alias("_s")).withColumn("_hash", F.col("_s.hash"))
-    judged = each.join(ownership(each), "_hash").where((F.col("_s.rank") < len(BASE)) | (F.col("_n_owners") == 1))
+    judged = each.join(ownership(each), "_hash").where((F.col("_s.rank") < len(BASE)) | ~example(F.col("_n_owners"), F.col("_n_repos")))
     span = F.struct("_s.start", "_s.rank", "_s.end", "_s.kind", "_s.hash", F.col("_n_repos").alias("n_repos"), F.col("_n_owners").alias("n_owners"))
     spans = judged.groupBy("_rid").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     return rows.join(spans, "_rid", "left").select(*keep, F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
@@ -97,8 +104,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[kind(k).alias(f"n_{k}") for k, *_ in BASE],
         F.sha2(_text(F.filter(s, lambda x: x["rank"] < len(BASE))), 256).alias("base_sha256"),
         _text(s).alias("spans"),
-        F.size(F.filter(s, lambda x: x["n_owners"] == 1)).cast("long").alias("n_live"),
-        F.size(F.filter(s, lambda x: x["n_owners"] >= EXAMPLE_OWNERS)).cast("long").alias("n_example"),
+        F.size(F.filter(s, lambda x: ~example(x["n_owners"], x["n_repos"]))).cast("long").alias("n_live"),
+        F.size(F.filter(s, lambda x: example(x["n_owners"], x["n_repos"]))).cast("long").alias("n_example"),
     )
 
 
@@ -118,10 +125,10 @@ def _sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 c AS ({' UNION '.join(each)}),
 f AS (SELECT * FROM c WHERE rank < {len(BASE)} OR NOT EXISTS (SELECT 1 FROM c b WHERE b.rank < {len(BASE)} AND b.r = c.r AND b.start < c.stop AND c.start < b.stop)),
-n AS (SELECT hash, count(DISTINCT coalesce(source, chr(0))) AS owners FROM f GROUP BY 1),
-s AS (SELECT f.*, owners FROM f JOIN n USING (hash) WHERE rank < {len(BASE)} OR owners = 1),
+n AS (SELECT hash, count(DISTINCT coalesce(source, chr(0))) >= {EXAMPLE_OWNERS} OR count(DISTINCT coalesce(doc_id::VARCHAR, chr(0))) >= {EXAMPLE_REPOS} AS example FROM f GROUP BY 1),
+s AS (SELECT f.*, example FROM f JOIN n USING (hash) WHERE rank < {len(BASE)} OR NOT example),
 a AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-        string_agg({text}) FILTER (rank < {len(BASE)}) AS base, string_agg({text}) AS spans, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example FROM s GROUP BY r)
+        string_agg({text}) FILTER (rank < {len(BASE)}) AS base, string_agg({text}) AS spans, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM s GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
        coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN a USING (r)"""
 
