@@ -1,22 +1,22 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a re-parameterised question keeps its
-template. Windows of template tokens are hashed and hash-joined against the benchmark's; a document
-that shares a long enough stretch with an item on one alignment is a candidate, and its slots are
-then checked: equal values in the item must be equal values in the document and the other way round.
-
-The benchmark is joined in blocks of items of a bounded size, each broadcast once to all executors;
-documents are never shuffled and only hits leave a task.
+template. Windows of template tokens are hashed and hash-joined against the benchmark's; windows of
+placeholders alone, which anything would match, are joined by their words. A document that shares a window
+is compared with the item along that alignment, and its slots are then checked: names and units must map
+one to one, and a number that the item repeats before the same word must be repeated in the document.
+A stretch that passes is enough, whatever differs elsewhere; a verbatim one needs no check.
+
+The benchmark's distinct texts are joined in blocks of a bounded size, each broadcast once to all
+executors; documents are never shuffled and only hits leave a task.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
@@ -26,10 +26,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import stage, table
+from .shingles import mixed, windows
 
 #: Template tokens in a window; tokens on one alignment that make a document contaminated (all of a shorter item).
 WINDOW, RUN = 6, 12
-#: Of the tokens on an alignment, so many at least must be words, not placeholders.
+#: Of the tokens of a stretch that isn't verbatim, so many at least must be words, not placeholders.
 MIN_WORDS = 4
 #: Template tokens of the benchmark that are broadcast at a time.
 BLOCK_TOKENS = 500_000
@@ -45,13 +46,6 @@ _ENDS = (".", "!", "?", ":")
 _NUM, _NAME, _UNIT, _PLAIN = 1, 2, 3, 0
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: near inputs get far outputs."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 class Canon:
     """Template tokens of texts. Words are kept with what they become at a sentence's start and within one."""
 
@@ -62,10 +56,10 @@ class Canon:
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.table = [np.zeros(1024, t) for t in (np.uint64, np.int8, np.uint64, np.int8, bool)]
+        self.table = [np.zeros(1024, t) for t in (np.uint64, np.int8, np.uint64, np.int8, np.uint64, bool)]
 
     def _add(self, word: str) -> int:
-        """Number of a word: its hash and type at a start, its hash and type within, whether it ends a sentence."""
+        """Number of a word: its hash and type at a start, its hash and type within, its own hash, whether it ends a sentence."""
         core = "".join(_WORD.findall(word))
         low = core.lower()
         plain = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
@@ -80,117 +74,158 @@ class Canon:
         self.ids[word] = n = len(self.ids)
         if n == len(self.table[0]):
             self.table = [np.concatenate([x, np.zeros_like(x)]) for x in self.table]
-        for x, v in zip(self.table, (*start, *within, word.endswith(_ENDS)), strict=True):
+        for x, v in zip(self.table, (*start, *within, plain, word.endswith(_ENDS)), strict=True):
             x[n] = v
         return n
 
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, template hashes and slot types of a text, parts without letters or digits left out."""
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template hashes, slot types and own hashes of a text's words, those without letters or digits left out."""
         parts = text.split()
         if len(self.ids) > self.LIMIT:
             self._clear()
         get, add = self.ids.get, self._add
         at = np.fromiter((n if (n := get(w)) is not None else add(w) for w in parts), np.int64, len(parts))
-        start_hash, start_type, in_hash, in_type, ends = (x[at] for x in self.table)
+        start_hash, start_type, in_hash, in_type, own, ends = (x[at] for x in self.table)
         first = np.ones(len(at), bool)
         first[1:] = ends[:-1]
         kept = start_hash != _EMPTY
-        hashes, types = np.where(first, start_hash, in_hash), np.where(first, start_type, in_type)
-        if kept.all():
-            return parts, hashes, types
-        return [w for w, k in zip(parts, kept, strict=True) if k], hashes[kept], types[kept]
+        out = np.where(first, start_hash, in_hash), np.where(first, start_type, in_type), own
+        return out if kept.all() else tuple(x[kept] for x in out)
 
 
 _EMPTY = np.uint64(xxhash.xxh3_64_intdigest(b""))
 
 
-def _windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
-    for i in range(n):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - n + 1 + i])
-    return out
+def _slots_only(types: np.ndarray, n: int) -> np.ndarray:
+    """Whether each window of n tokens holds placeholders alone."""
+    plain = np.cumsum(np.append(0, types == _PLAIN))
+    return plain[n:] == plain[: len(plain) - n]
+
+
+class Table:
+    """Places (item, token) by window hash, sorted."""
+
+    def __init__(self) -> None:
+        self.hashes, self.owners, self.places = [], [], []
+
+    def add(self, hashes: np.ndarray, owner: int, places) -> None:
+        self.hashes.append(hashes)
+        self.owners.append(np.full(len(hashes), owner))
+        self.places.append(np.asarray(places))
+
+    def close(self) -> Table:
+        h = np.concatenate([np.zeros(0, np.uint64), *self.hashes])
+        order = np.argsort(h, kind="stable")
+        self.hashes = h[order]
+        self.owners, self.places = (np.concatenate([np.zeros(0, np.int64), *x])[order] for x in (self.owners, self.places))
+        return self
+
+    def hits(self, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distinct (item, shift from the item's places to the document's) of equal windows. w: hashes of the windows at places at."""
+        if not len(self.hashes) or not len(w):
+            return np.zeros((0, 2), np.int64)
+        lo = np.searchsorted(self.hashes, w)
+        some = np.nonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == w)[0]
+        lo, at = lo[some], at[some]
+        many = np.searchsorted(self.hashes, w[some], side="right") - lo
+        x = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.unique(np.stack([self.owners[x], np.repeat(at, many) - self.places[x]], 1), axis=0)
 
 
 class Block:
-    """Items of one block: a sorted table from window hashes to (item, place)."""
+    """Items of one block with tables of their windows: by template, by words where a window has placeholders alone,
+    and for items shorter than a window, as wholes by length."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
         canon = Canon()
         self.window, self.items = window, []
-        short: dict[int, list[int]] = defaultdict(list)
-        hashes, owners, places = [], [], []
-        for item, text in items:
-            words, h, types = canon(text or "")
-            k = len(self.items)
-            self.items.append((item, words, h, types))
-            if 0 < len(h) < window:  # a short item is one window of its own length
-                short[len(h)].append(k)
-            w = _windows(h, window)
-            hashes.append(w)
-            owners.append(np.full(len(w), k))
-            places.append(np.arange(len(w)))
-        self.short = {n: (np.array([_windows(self.items[k][2], n)[0] for k in ks], np.uint64), ks) for n, ks in short.items()}
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owners = np.concatenate(owners)[order] if hashes else np.zeros(0, int)
-        self.places = np.concatenate(places)[order] if hashes else np.zeros(0, int)
-
-    def hits(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item's index, place in the item, place in the document) of equal windows."""
-        w = _windows(hashes, self.window)
-        if len(self.hashes) and len(w):
-            lo = np.searchsorted(self.hashes, w)
-            at = np.nonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == w)[0]
-            for i in at:
-                j = lo[i]
-                while j < len(self.hashes) and self.hashes[j] == w[i]:
-                    yield int(self.owners[j]), int(self.places[j]), int(i)
-                    j += 1
-        for n, (known, ks) in self.short.items():
-            w = _windows(hashes, n)
-            for h, k in zip(known, ks, strict=True):
-                for i in np.nonzero(w == h)[0]:
-                    yield k, 0, int(i)
-
-
-def consistent(item: list[str], doc: list[str], types: np.ndarray) -> bool:
-    """Whether equal slot values on one side meet equal ones on the other (of one type)."""
-    there: dict[tuple[int, str], str] = {}
-    back: dict[tuple[int, str], str] = {}
-    strip = lambda w: "".join(_WORD.findall(w)).lower()
-    for a, b, t in zip(item, doc, types, strict=True):
+        self.tables: dict[tuple[int, bool], Table] = {}
+        for key, text in items:
+            hashes, types, own = canon(text)
+            k, n = len(self.items), min(window, len(hashes))
+            # a capital at the item's start may stand within a sentence elsewhere
+            other = np.append(np.uint64(_NAME), hashes[1:]) if len(hashes) and types[0] == _PLAIN and text.split()[0][:1].isupper() else None
+            self.items.append((key, hashes, types, own, other is not None))
+            if not n:
+                continue
+            slots = _slots_only(types, n)
+            for w, which, words in ((hashes, ~slots, False), (own, slots, True)):
+                self.table(n, words).add(windows(w, n)[which], k, np.nonzero(which)[0])
+            if other is not None:
+                only = _slots_only(np.append(np.int8(_NAME), types[1:n]), n)[0]
+                self.table(n, bool(only)).add(windows((own if only else other)[:n], n), k, [0])
+        for t in self.tables.values():
+            t.close()
+
+    def table(self, n: int, words: bool) -> Table:
+        return self.tables.setdefault((n, words), Table())
+
+    def hits(self, hashes: np.ndarray, types: np.ndarray, own: np.ndarray) -> np.ndarray:
+        found = [np.zeros((0, 2), np.int64)]
+        for (n, words), t in self.tables.items():
+            if len(hashes) < n:
+                continue
+            if words:
+                at = np.nonzero(_slots_only(types, n))[0]
+                w = np.zeros(len(at), np.uint64) + np.uint64(n)
+                for i in range(n):
+                    w = mixed(w * np.uint64(0x9E3779B97F4A7C15) + own[at + i])
+                found.append(t.hits(w, at))
+            else:
+                found.append(t.hits(windows(hashes, n), np.arange(len(hashes) - n + 1)))
+        return np.unique(np.concatenate(found), axis=0)
+
+
+def stretch(types: list[int], item: list[int], doc: list[int], after: list[int], least: int, min_words: int) -> tuple[int, int]:
+    """Start and end of the longest stretch of aligned tokens whose slots are consistent, with least tokens and min_words
+    plain ones at least; (0, 0) if none. Names and units map one to one; a number before the same token maps to one number."""
+    seen: dict[tuple, tuple[int, int]] = {}
+    best, left, plain = (0, 0), 0, [0]
+    for at, (t, a, b, z) in enumerate(zip(types, item, doc, after, strict=True)):
+        plain.append(plain[-1] + (t == _PLAIN))
         if t != _PLAIN:
-            a, b, t = strip(a), strip(b), int(t)
-            if there.setdefault((t, a), b) != b or back.setdefault((t, b), a) != a:
-                return False
-    return True
-
-
-def _found(block: Block, words: list[str], hashes: np.ndarray, types: np.ndarray, run: int) -> list[tuple]:
-    """(item, first word, end, tokens matched, slots, exact) of each item's best alignment that passes."""
-    lines: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, i, j in block.hits(hashes):
-        n = min(block.window, len(block.items[k][2]))
-        lines[k, j - i].update(range(i, i + n))
+            for key, value in [((t, a, z), b)] if t == _NUM else [((t, a, 0), b), ((t, b, 1), a)]:
+                was, last = seen.get(key, (value, -1))
+                if was != value:
+                    left = max(left, last + 1)
+                seen[key] = (value, at)
+        if at + 1 - left >= max(least, best[1] - best[0] + 1) and plain[-1] - plain[left] >= min_words:
+            best = (left, at + 1)
+    return best
+
+
+def _runs(ok: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Start and end of the runs of true values that are long enough."""
+    edges = np.nonzero(np.diff(np.concatenate([[False], ok, [False]]).astype(np.int8)))[0].reshape(-1, 2)
+    return [(int(a), int(b)) for a, b in edges if b - a >= least]
+
+
+def _found(block: Block, hashes: np.ndarray, types: np.ndarray, own: np.ndarray, run: int) -> list[tuple]:
+    """(item, first word, end, tokens matched, slots, exact) of each item's longest stretch that passes."""
     best: dict[int, tuple] = {}
-    for (k, shift), covered in lines.items():
-        item, item_words, item_hashes, item_types = block.items[k]
-        at = sorted(covered)
-        if len(at) < min(run, len(item_hashes)):
-            continue
-        kinds = item_types[at]
-        if (kinds == _PLAIN).sum() < min(MIN_WORDS, len(at)):
-            continue
-        there = [words[i + shift] for i in at]
-        if not consistent([item_words[i] for i in at], there, kinds):
+    for k, shift in block.hits(hashes, types, own).tolist():
+        key, item_hashes, item_types, item_own, capital = block.items[k]
+        n = len(item_hashes)
+        a, b = max(0, -shift), min(n, len(hashes) - shift)
+        there = slice(a + shift, b + shift)
+        same = item_own[a:b] == own[there]
+        equal = same | (item_hashes[a:b] == hashes[there])
+        if capital and a == 0 and hashes[shift] == _NAME:
+            equal[0] = True
+        runs = _runs(equal, min(block.window, n))
+        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(*r) for r in runs)])
+        least = min(run, n)
+        if len(at) < least:
             continue
-        exact = all(item_words[i] == w for i, w in zip(at, there, strict=True))
-        row = (item, at[0] + shift, at[-1] + shift + 1, len(at), int((kinds != _PLAIN).sum()), exact)
-        if k not in best or row[3] > best[k][3]:
-            best[k] = row
+        kinds, words, after = item_types[a:b][at], item_own[a:b], np.append(item_hashes[a + 1 : b], 0)
+        s, e = stretch(kinds.tolist(), words[at].tolist(), own[there][at].tolist(), after[at].tolist(), least, min(MIN_WORDS, len(at)))
+        chosen = at[s:e]
+        for p, q in _runs(same, least):
+            if q - p > len(chosen):
+                chosen = np.arange(p, q)
+        if len(chosen) and (k not in best or len(chosen) > best[k][3]):
+            slots = int((item_types[a:b][chosen] != _PLAIN).sum())
+            best[k] = (key, int(chosen[0]) + a + shift, int(chosen[-1]) + a + shift + 1, len(chosen), slots, bool(same[chosen].all()))
     return list(best.values())
 
 
@@ -198,21 +233,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """One row per document and item that it holds: doc_id, item_id, start and end (template tokens of
     the document, end exclusive), n_matched, n_slots, exact.
 
-    Null and empty texts on either side hold nothing. An item with fewer tokens than the run must be
-    there whole. Repeated documents repeat their rows, repeated items theirs; ids may be null and are
-    carried as they are. An empty table on either side gives an empty result. Other columns don't matter.
+    Of an item's stretches in a document the longest is told. Null and empty texts on either side hold
+    nothing. An item with fewer tokens than the run must be there whole. Repeated documents repeat their
+    rows, repeated items theirs; ids may be null and are carried as they are. An empty table on either side gives an empty result. Other columns don't matter.
     """
     spark = docs.sparkSession
-    schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {benchmark.schema[item_id].dataType.simpleString()}, start int, end int, n_matched int, n_slots int, exact boolean"
+    schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, _key string, start int, end int, n_matched int, n_slots int, exact boolean"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("length(text) > 0")
-    tokens = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0
+    items = benchmark.select(F.col(item_id).alias("_item"), F.sha2(item_text, 256).alias("_key"), F.col(item_text).alias("_text")).where("length(_text) > 0")
+    texts = items.select("_key", "_text").dropDuplicates(["_key"])
+    tokens = texts.agg(F.sum(F.length("_text") / 2)).first()[0] or 0
     n_blocks = int(tokens // BLOCK_TOKENS) + 1
     out = None
     for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).collect()  # bounded by BLOCK_TOKENS
-        block = Block(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r)), window)
-        held = spark.sparkContext.broadcast(cloudpickle.dumps(block))
+        rows = texts.where(F.pmod(F.xxhash64("_key"), F.lit(n_blocks)) == b).collect()  # distinct texts of BLOCK_TOKENS or so
+        held = spark.sparkContext.broadcast(cloudpickle.dumps(Block(sorted((r[0], r[1]) for r in rows), window)))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             canon, block = Canon(), cloudpickle.loads(held.value)
@@ -225,11 +260,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                         found += new
                 if found:
                     cols = list(zip(*found, strict=True))
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame({doc_id: ids, item_id: cols[0], "start": cols[1], "end": cols[2], "n_matched": cols[3], "n_slots": cols[4], "exact": cols[5]}), schema=arrow, preserve_index=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([ids, *cols], arrow, strict=True)], schema=arrow)
 
         part = docs.select(doc_id, text).mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    named = out.join(items.select("_key", F.col("_item").alias(item_id)), "_key")
+    return named.select(doc_id, item_id, "start", "end", "n_matched", "n_slots", "exact")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -123,8 +123,18 @@ def test_templates(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
     got = {(r.doc_id, r.exact) for r in decontamination.find_leaks(df, bench).collect()}
-    assert (1, True) in got and (2, False) in got and not {d for d, _ in got} & {3, 4}
-    assert {r.doc_id for r in decontamination.decontaminate(df, bench).collect()} == {3, 4}
+    assert (1, True) in got and (2, False) in got and 4 not in {d for d, _ in got}
+    assert (3, False) in got  # a stretch without one of the two names is consistent
+    assert {r.doc_id for r in decontamination.decontaminate(df, bench).collect()} == {4}
+
+
+def test_inconsistent_slots(spark):
+    item = "First Alice gave Bob an apple , then Bob gave Cara a pear , then Cara gave Alice a plum"
+    one_to_one = item.replace("Alice", "Xena").replace("Bob", "Yves").replace("Cara", "Zoe")
+    mixed_up = "First Xena gave Xena an apple , then Yves gave Yves a pear , then Zoe gave Zoe a plum"
+    df = spark.createDataFrame([(1, one_to_one), (2, mixed_up)], "doc_id long, text string")
+    got = decontamination.find_leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1}
 
 
 def test_whole_items_are_found(spark, small):
@@ -148,7 +158,9 @@ def test_salvage_logs_gaps():
     at = plain.index(b"aaaa") + 50
     cut = plain[:at] + b"junk" + plain[at:]
     assert [x[4] for x in warc.salvage(cut) if x[2] is None] == body[1:]
-    assert [x[4] for x in warc.salvage(whole[:-5]) if x[2] is None] == body[:2]
+    cut = list(warc.salvage(whole[:-5]))  # only the last member's trailer is cut: its record is whole
+    assert [x[4] for x in cut if x[2] is None] == body and [x[0] for x in cut if x[2]] == [len(whole) - len(recs[2])]
+    assert [x[4] for x in warc.salvage(whole[: len(recs[0]) + len(recs[1]) + 40]) if x[2] is None] == body[:2]
 
 
 def test_pipeline(spark, small):
