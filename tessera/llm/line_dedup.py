@@ -26,6 +26,11 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line, F.lit(" \t\x0b\f\r")))
 
 
+def host_of(url: str) -> Column:
+    """Host of a URL column in lower case, to group pages by; null where there is none."""
+    return F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
+
+
 def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per host that has boilerplate: _host, _boiler (keys of its lines).
 

@@ -4,7 +4,8 @@ Each source gets a target number of words; a document's expected copies are its
 its source's words. Within a source, documents are put in order of (size, id), their expected copies
 are prefix-summed from one offset drawn for the source, and a document is emitted once for each
 integer boundary that its stretch of the sum crosses. The order by size makes the words taken come
-near the target, the seeded offset makes reruns agree.
+near the target, the seeded offset makes reruns agree. Documents so large that one of them could move a
+source off its target are sampled first, and the expected copies of the rest make up for what they take.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import stage, table, words
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, 7
+#: A document is large if it has more than this share of its source's words.
+LARGE = 0.05
 #: Rows of (partition, source) positions that may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -51,31 +54,46 @@ def with_size(df: DataFrame, text: str = "text") -> DataFrame:
 def mix_sources(named: DataFrame, doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """named (which has with_size's column) with source_size, target (of its source) and copies (how often the mix takes it).
 
-    Every row stays, with copies 0 if it isn't taken; ``emit`` repeats them. A null source is a source of its own, null ids come first among rows of equal size. Rows that
-    repeat an id are documents of their own. A source without words has target 0 and copies 0. An
-    empty table gives an empty one. Columns named as the new ones, or with a leading underscore as the
-    inner ones (_at, _part, _first, _before, _u, _p_part, _p_source), are replaced.
+    Every row stays, with copies 0 if it isn't taken; ``emit`` repeats them. A null source is a source of
+    its own, null ids come first among rows of equal size. Rows that repeat an id are documents of their
+    own; rows of equal source, size and id go by a hash of their other plain columns, so reruns agree.
+    A source without words has target 0 and copies 0. An empty table gives an empty one. Columns named as
+    the new ones, or with a leading underscore as the inner ones (_at, _part, _first, _before, _rows, _u,
+    _small, _large, _p_part, _p_source), are replaced.
 
     The order within a source is global: rows are range-partitioned by (source, size, id), so a
     source with a third of all rows spans many tasks, and a position is the position in its
-    partition plus the count of its source in the partitions before.
+    partition plus the count of its source in the partitions before. Large documents are last in that
+    order; their prefix sum runs from the largest down.
     """
-    named = named.drop("source_size", "target", "copies", "_at", "_part", "_first", "_before", "_u", "_p_part", "_p_source")
-    ranged = named.repartitionByRange(F.col(source).asc_nulls_last(), "size", doc_id).sortWithinPartitions(F.col(source).asc_nulls_last(), "size", doc_id)
+    named = named.drop("source_size", "target", "copies", "_at", "_part", "_first", "_before", "_rows", "_u", "_small", "_large", "_p_part", "_p_source")
+    plain = [F.col(c) for c, kind in named.dtypes if kind in ("string", "bigint", "int", "double", "date", "timestamp", "boolean")]
+    order = [F.col(source).asc_nulls_last(), "size", doc_id, F.xxhash64(*plain)]
+    ranged = named.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = stage(ranged.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}), "mixing")
     counts = ranged.groupBy("_part", source).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.sum("size").alias("size"))
     targets = source_targets(counts, source, weights, share, cap, seed)
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(source).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).drop("size", "_n")
-    places = stage(counts.alias("c").join(targets.alias("t"), F.col(f"c.{source}").eqNullSafe(F.col(f"t.{source}"))).drop(F.col(f"t.{source}")), "mixing-places")
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    by = Window.partitionBy(source)
+    before = F.coalesce(F.sum("_n").over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"_before": before, "_rows": F.sum("_n").over(by)}).drop("size", "_n")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    places = stage(counts.alias("c").join(targets.alias("t"), same(f"c.{source}", f"t.{source}")).drop(F.col(f"t.{source}")), "mixing-places")
+    small = (lambda d: F.broadcast(d)) if places.count() <= BROADCAST_ROWS else (lambda d: d)
     p = places.withColumnsRenamed({"_part": "_p_part", source: "_p_source"})
-    out = ranged.join(p, (F.col("_part") == F.col("_p_part")) & F.col(source).eqNullSafe(F.col("_p_source")))
     rank = F.col("_at") - F.col("_first") + F.col("_before")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(each * (rank + 1) + F.col("_u")) - F.floor(each * rank + F.col("_u"))
-    return out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long")).select(*named.columns, "source_size", "target", "copies")
+    crossed = lambda each, at: F.floor(each * (at + 1) + F.col("_u")) - F.floor(each * at + F.col("_u"))
+    large = F.col("size") > LARGE * F.col("source_size")
+    of_large = crossed(each, F.col("_rows") - 1 - rank)
+
+    def placed(rows: DataFrame, p: DataFrame) -> DataFrame:
+        return rows.join(small(p), same("_part", "_p_part") & same(source, "_p_source"))
+
+    sums = placed(ranged.select(source, "size", "_at", "_part"), p).groupBy(F.col(source).alias("_source")).agg(F.sum(F.when(~large, F.col("size"))).alias("_small"), F.coalesce(F.sum(F.when(large, F.col("size") * of_large)), F.lit(0)).alias("_large"))
+    p = stage(p.join(sums, same("_p_source", "_source")).drop("_source"), "mixing-rest")
+    rest = F.least(F.lit(cap), F.greatest(F.lit(0.0), (F.col("target") - F.col("_large")) / F.col("_small")))
+    copies = F.when(F.col("size") <= 0, 0).when(large, of_large).otherwise(crossed(rest, rank))
+    return placed(ranged, p).withColumn("copies", copies.cast("long")).select(*named.columns, "source_size", "target", "copies")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -100,9 +118,12 @@ l AS (SELECT *, (1.5::DOUBLE * total - 2.0::DOUBLE * before) / rest AS level FRO
 k AS (SELECT arg_min(level, r2) AS level FROM l WHERE 2.0::DOUBLE * source_size / w > level),
 t AS (SELECT l.source, source_size, CASE WHEN 2.0::DOUBLE * source_size / w <= l.level THEN 2.0::DOUBLE * source_size ELSE least(2.0::DOUBLE * source_size, k.level * w) END AS target,
         ('0x' || substr(md5('{SEED}|' || coalesce(l.source, chr(0))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l LEFT JOIN k ON true),
-x AS (SELECT doc_id, size, t.*, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS n,
-        CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(each * n + u) - floor(each * (n - 1) + u)))::BIGINT AS taken FROM x"""
+x AS (SELECT doc_id, size, d.source AS src, t.*, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS n, count(*) OVER (PARTITION BY d.source) AS rows,
+        CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each, size > {LARGE}::DOUBLE * source_size AS large FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, floor(each * (rows - n + 1) + u) - floor(each * (rows - n) + u) AS of_large FROM x),
+a AS (SELECT src, sum(size) FILTER (NOT large)::DOUBLE AS small, coalesce(sum(size * of_large) FILTER (large), 0)::DOUBLE AS taken FROM y GROUP BY src),
+z AS (SELECT y.*, CASE WHEN small > 0 THEN least(2, greatest(0, (target - taken) / small)) END AS rest FROM y JOIN a ON y.src IS NOT DISTINCT FROM a.src)
+SELECT doc_id, size, source_size, target, (CASE WHEN size <= 0 THEN 0 WHEN large THEN size * of_large ELSE size * (floor(rest * n + u) - floor(rest * (n - 1) + u)) END)::BIGINT AS taken FROM z"""
 
 QUERIES = {"op6_mixing": op6_mixing}
 SQL = {"op6_mixing": _SQL}
