@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     e = stage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     while True:
-        e = stage(_small_star(_large_star(e)), "stars")
+        last, e = e, stage(_small_star(_large_star(e)), "stars")
+        drop(e.sparkSession, last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before or not now["n"]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
