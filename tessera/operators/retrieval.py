@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import LINE_ENDS, strip, tokens
+from tessera.operators.dedup import running
+
+#: What a query's word is worth in a passage's file name and in its heading.
+FILE_BONUS, HEADING_BONUS = 0.8, 0.6
 
 
 def postings(passages: DataFrame, id_: str, text: str) -> DataFrame:
@@ -17,33 +21,55 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def search(index: DataFrame, n_passages: int, queries: DataFrame, id_: str, text: str, k: int = 5) -> DataFrame:
+def search(index: DataFrame, n_passages: int, queries: DataFrame, id_: str, text: str, k: int = 5, names: DataFrame | None = None) -> DataFrame:
     """The k best passages of each query: query, rank, passage, score. Ties go to the smaller passage.
 
-    A query's words meet their postings by an equi-join. A word's weight falls with the passages that
-    have it, as does what each further occurrence adds."""
+    A query's words meet their postings by an equi-join; a word's weight falls with the passages that have it,
+    as does what each further occurrence adds. names (passage, file, heading, in lower case) adds what a query
+    gets for words in them, to passages that share a word with it: a passage's file and heading are among its
+    indexed words, so only parts of longer words are left out.
+
+    Words of very many passages carry little weight but most rows: their postings are added up before they meet
+    the queries, and a query's rows per passage are summed map-side before the shuffle."""
     q = queries.select(F.col(id_).alias("query"), F.explode(tokens(F.col(text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("weight"))
     hits = index.join(q.select("token").distinct(), "token", "left_semi")
     df = document_frequency(hits)
     idf = F.ln((F.lit(n_passages) + 1) / (F.col("df") + 0.5)) + 1.0
-    scored = hits.join(df, "token").select("passage", "token", (idf * F.col("tf") / (F.col("tf") + 1.2)).alias("part"))
-    score = F.bround(F.sum(F.col("weight") * F.col("part")), 4)
-    total = scored.join(q, "token").groupBy("query", "passage").agg(score.alias("score")).where("score > 0")
+    weights = q.join(df, "token").select("query", "token", (F.col("weight") * idf).alias("w"))
+    part = F.col("w") * F.col("tf") / (F.col("tf") + 1.2)
+    if names is not None:
+        hits = hits.join(names, "passage")
+        part = part + F.when(F.contains("file", F.col("token")), FILE_BONUS).otherwise(0.0) + F.when(F.contains("heading", F.col("token")), HEADING_BONUS).otherwise(0.0)
+    total = hits.join(weights, "token").groupBy("query", "passage").agg(F.bround(F.sum(part), 4).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "passage"))
     return total.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("query", "rank", "passage", "score")
 
 
 def pack_context(ranked: DataFrame, group: str, rank: str, length: str, budget: int) -> DataFrame:
     """Rows of each group up to the first that would overflow the budget, with the sum used so far."""
-    used = F.sum(length).over(Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("used", used).where(F.col("used") <= budget)
+    used = F.coalesce("_before", F.lit(0)) + F.col(length)
+    return running(ranked, group, rank, length, F.sum).withColumn("used", used).drop("_before").where(F.col("used") <= budget)
+
+
+def split_plain(df: DataFrame, id_: str, text: str, lines: int = 40) -> DataFrame:
+    """Passages of so many lines: id, passage (from 0), heading (empty), text. Blank passages are left out."""
+    each = df.select(id_, F.posexplode(F.split(text, LINE_ENDS, -1)).alias("pos", "line")).withColumn("passage", F.floor(F.col("pos") / lines))
+    joined = each.groupBy(id_, "passage").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("text"))
+    return joined.select(id_, "passage", F.lit("").alias("heading"), strip(F.col("text")).alias("text")).where("text <> ''")
+
+
+def passages_of(files: DataFrame, id_: str, name: str, text: str) -> DataFrame:
+    """Passages of files: by headings for Markdown, by lines for the rest; with file (its name in lower case)."""
+    md = F.lower(F.col(name)).endswith(".md")
+    both = split_markdown(files.where(md), id_, text).unionByName(split_plain(files.where(~md), id_, text).withColumn("passage", F.col("passage").cast("bigint")))
+    return both.where("text <> ''").join(files.select(id_, F.lower(name).alias("file")), id_)
 
 
 def split_markdown(df: DataFrame, id_: str, text: str) -> DataFrame:
     """Passages that start at headings: id, passage (from 0), heading, text. Lines before a heading have none."""
-    lines = df.select(id_, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    lines = df.select(id_, F.posexplode(F.split(text, LINE_ENDS, -1)).alias("pos", "line"))
     by = Window.partitionBy(id_).orderBy("pos")
     head = F.ltrim("line").startswith("#")
     lines = lines.withColumn("passage", F.sum((head & (F.col("pos") > 0)).cast("bigint")).over(by)).withColumn("head", F.when(head, F.trim("line")))
     parts = lines.groupBy(id_, "passage").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"), F.coalesce(F.max("head"), F.lit("")).alias("heading"))
-    return parts.select(id_, "passage", "heading", F.trim(F.array_join("l.line", "\n"), F.lit(" \n\t\r")).alias("text"))
+    return parts.select(id_, "passage", "heading", strip(F.array_join("l.line", "\n")).alias("text"))

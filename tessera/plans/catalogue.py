@@ -5,129 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import compare, dedup, metrics, packaging, retrieval
-from tessera.sources.tables import EVAL_SQL, eval_results, table
+from tessera.operators import dedup, packaging, retrieval
+from tessera.plans import corpora, evaluation, programs  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL, query  # noqa: F401
+from tessera.sources.tables import table
 from tessera.streaming import best
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-_SUMMARY = "count(*) AS n, count(*) FILTER (accepted) AS n_accepted, round_even(avg(score), 1) AS avg_score"
-_METRICS = f"""{_SUMMARY}, min(score) AS min_score, max(score) AS max_score, round_even(avg(compile_passed::INT), 3) AS compile_rate,
-  round_even(avg(runtime_passed::INT), 3) AS runtime_rate, round_even(avg(accepted::INT), 3) AS accepted_rate,
-  coalesce(round_even(avg(latency_ms) FILTER (latency_ms > 0), 0), 0)::BIGINT AS latency_avg, coalesce(min(latency_ms) FILTER (latency_ms > 0), 0) AS latency_min, coalesce(max(latency_ms) FILTER (latency_ms > 0), 0) AS latency_max"""
-_RUNS = EVAL_SQL + """,
-u AS (SELECT model, run_id, count(*) AS tasks, count(*) FILTER (accepted) AS accepted, avg(score) AS avg_score, avg(compile_passed::INT) AS compile_rate, avg(runtime_passed::INT) AS runtime_rate FROM r GROUP BY ALL),
-p AS (SELECT *, lag(run_id) OVER (PARTITION BY model ORDER BY run_id) AS previous_run FROM u)"""
-_FIRST_TWO = ("m0_20240101", "m0_20240102")
-
-
-@query(f"{EVAL_SQL} SELECT topic, {_METRICS} FROM r GROUP BY topic")
-def run_metrics_by_topic(spark, sf_dir):
-    return metrics.run_metrics(eval_results(spark, sf_dir), "topic")
-
-
-@query(f"{EVAL_SQL} SELECT run_id, {_METRICS} FROM r GROUP BY run_id")
-def run_metrics_by_run(spark, sf_dir):
-    return metrics.run_metrics(eval_results(spark, sf_dir), "run_id")
-
-
-@query(f"{EVAL_SQL} SELECT topic, difficulty, {_SUMMARY} FROM r GROUP BY GROUPING SETS ((topic), (difficulty), ())")
-def topic_and_difficulty(spark, sf_dir):
-    return metrics.topic_and_difficulty(eval_results(spark, sf_dir))
-
-
-@query(f"""{EVAL_SQL} SELECT run_id, bucket, (SELECT count(*) FROM r WHERE r.run_id = x.run_id AND score BETWEEN lo AND hi) AS n
-FROM (SELECT DISTINCT run_id FROM r) x, (VALUES ('90-100', 90, 1000), ('70-89', 70, 89), ('60-69', 60, 69), ('0-59', 0, 59)) b(bucket, lo, hi)""")
-def score_histogram(spark, sf_dir):
-    return metrics.score_histogram(eval_results(spark, sf_dir), "run_id")
-
-
-@query(f"""{EVAL_SQL} SELECT topic, {_SUMMARY}, count(*) FILTER (score < 60) AS n_low, count(*) FILTER (NOT compile_passed) AS n_compile_failed, count(*) FILTER (NOT runtime_passed) AS n_runtime_failed
-FROM r GROUP BY topic HAVING avg(accepted::INT) < 0.8 OR min(score) < 70""")
-def weak_topics(spark, sf_dir):
-    return metrics.weak_topics(eval_results(spark, sf_dir))
-
-
-@query(f"{EVAL_SQL} SELECT run_id, round_even(min(rate), 3) AS min_acceptance FROM (SELECT run_id, topic, avg(accepted::INT) AS rate FROM r GROUP BY ALL) GROUP BY run_id")
-def min_topic_acceptance(spark, sf_dir):
-    return metrics.min_topic_acceptance(eval_results(spark, sf_dir), "run_id")
-
-
-@query(f"{EVAL_SQL} SELECT model, sum(tasks)::BIGINT AS tasks, round_even(sum(a * tasks) / sum(tasks), 2) AS avg_score FROM (SELECT model, run_id, count(*) AS tasks, round_even(avg(score), 2) AS a FROM r GROUP BY ALL) GROUP BY model")
-def weighted_mean(spark, sf_dir):
-    return metrics.weighted_mean(eval_results(spark, sf_dir))
-
-
-@query(f"{EVAL_SQL} SELECT model, id, count(*) AS runs, max(score) - min(score) AS score_range FROM r GROUP BY model, id HAVING count(*) >= 2 AND max(score) - min(score) > 5")
-def flaky_tasks(spark, sf_dir):
-    return metrics.flaky_tasks(eval_results(spark, sf_dir))
-
-
-@query(f"""{EVAL_SQL} SELECT topic, label, count(*) AS n FROM (SELECT topic, CASE WHEN NOT compile_passed THEN 'syntax_error' WHEN NOT runtime_passed AND score > 50 THEN 'io_format_error'
-WHEN NOT runtime_passed THEN 'logic_error' ELSE 'runtime_error' END AS label FROM r WHERE NOT accepted) GROUP BY ALL""")
-def failure_labels(spark, sf_dir):
-    return metrics.failures(eval_results(spark, sf_dir))
-
-
-@query(f"""{EVAL_SQL} SELECT id, coalesce(b.score, 0) AS base_score, coalesce(n.score, 0) AS new_score, CASE WHEN b.accepted AND NOT coalesce(n.accepted, false) THEN 'newly_broken'
-WHEN NOT coalesce(b.accepted, false) AND n.accepted THEN 'newly_fixed' WHEN b.accepted THEN 'unchanged_pass' ELSE 'unchanged_fail' END AS change
-FROM (SELECT * FROM r WHERE run_id = '{_FIRST_TWO[0]}') b FULL JOIN (SELECT * FROM r WHERE run_id = '{_FIRST_TWO[1]}') n USING (id)""")
-def run_diff(spark, sf_dir):
-    r = eval_results(spark, sf_dir)
-    return compare.run_diff(*[r.where(F.col("run_id") == x) for x in _FIRST_TWO])
-
-
-@query(f"{EVAL_SQL} SELECT b.id, b.score AS base_score, n.score AS new_score, n.score - b.score AS delta FROM r b JOIN r n USING (id) WHERE b.run_id = '{_FIRST_TWO[0]}' AND n.run_id = '{_FIRST_TWO[1]}'")
-def task_deltas(spark, sf_dir):
-    r = eval_results(spark, sf_dir)
-    return compare.task_deltas(*[r.where(F.col("run_id") == x) for x in _FIRST_TWO])
-
-
-@query(f"""{_RUNS},
-d AS (SELECT p.model, p.run_id, p.previous_run, p.accepted - b.accepted AS accepted_delta, round_even(p.avg_score - b.avg_score, 1) AS avg_delta, round_even(p.compile_rate - b.compile_rate, 3) AS compile_delta,
-      round_even(p.runtime_rate - b.runtime_rate, 3) AS runtime_delta FROM p JOIN u b ON b.run_id = p.previous_run),
-t AS (SELECT to_run, count(*) FILTER (coalesce(a0, false) AND NOT coalesce(a1, false)) AS newly_broken, count(*) FILTER (s1 - s0 < -20) AS big_drops FROM
-      (SELECT d.run_id AS to_run, id, score AS s1, accepted AS a1 FROM r JOIN d USING (run_id)) FULL JOIN (SELECT d.run_id AS to_run, id, score AS s0, accepted AS a0 FROM r JOIN d ON r.run_id = d.previous_run) USING (to_run, id) GROUP BY to_run),
-v AS (SELECT d.*, newly_broken, big_drops, accepted_delta < 0 OR avg_delta < -1 OR compile_delta < 0 OR runtime_delta < 0 OR newly_broken > 0 OR big_drops > 0 AS worse, newly_broken = 0 AND (accepted_delta > 0 OR avg_delta >= 1) AS better FROM d JOIN t ON to_run = run_id)
-SELECT * EXCLUDE (worse, better), CASE WHEN worse AND better THEN 'manual_review' WHEN worse THEN 'regression' WHEN better THEN 'improvement' ELSE 'pass' END AS verdict FROM v""")
-def regression_verdicts(spark, sf_dir):
-    return compare.regressions(eval_results(spark, sf_dir))
-
-
-@query(f"{_RUNS} SELECT model, run_id, previous_run FROM p")
-def previous_run(spark, sf_dir):
-    return compare.previous_run(compare.runs_of(eval_results(spark, sf_dir))).select("model", "run_id", "previous_run")
-
-
-@query(f"""{_RUNS}, t AS (SELECT model, count(*) AS run_count, min(run_id) AS first_run, max(run_id) AS latest_run, arg_min(round_even(avg_score, 1), run_id) AS first_avg, arg_max(round_even(avg_score, 1), run_id) AS latest_avg FROM u GROUP BY model)
-SELECT *, CASE WHEN run_count < 2 THEN 'insufficient_history' WHEN latest_avg - first_avg > 1 THEN 'improving' WHEN latest_avg - first_avg < -1 THEN 'declining' ELSE 'flat' END AS trend FROM t""")
-def model_trend(spark, sf_dir):
-    return compare.trend(compare.runs_of(eval_results(spark, sf_dir)))
-
-
-@query(f"{_RUNS} SELECT model, run_id, row_number() OVER (PARTITION BY model ORDER BY run_id DESC) AS n FROM u QUALIFY n <= 2")
-def latest_two_runs(spark, sf_dir):
-    return compare.latest_two(compare.runs_of(eval_results(spark, sf_dir)))
-
-
-@query(f"{_RUNS} SELECT row_number() OVER (ORDER BY round_even(avg_score, 1) DESC, accepted DESC, run_id DESC) AS rank, run_id, model, round_even(avg_score, 1) AS avg_score, accepted FROM u QUALIFY rank <= 10")
-def leaderboard(spark, sf_dir):
-    return compare.leaderboard(compare.runs_of(eval_results(spark, sf_dir)))
-
 
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, min(event_id) AS first_seq FROM events GROUP BY ALL")
 def dedup_last_value(spark, sf_dir):
@@ -236,11 +119,31 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"), T.title(F.col("html")).alias("title"))
 
 
-@query("""SELECT item_id, CASE WHEN length(text) > 40 THEN rtrim(text[:40]) || '…' ELSE text END AS preview, greatest(1, length(text) // 5)::BIGINT AS tokens, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
-CASE WHEN regexp_matches(lower(text), '\\b(triangle|area|coordinates?)\\b') OR regexp_matches(lower(text), 'geometry|heron|collinear') THEN 'geometry' WHEN regexp_matches(lower(text), 'game simulation|guess|points|win|random') THEN 'game_simulation'
-WHEN regexp_matches(lower(text), 'pattern|stars|pyramid|diamond|rows') THEN 'pattern_generation' WHEN regexp_matches(lower(text), 'series|sum|factorial|rational') THEN 'series_calculation' ELSE 'unknown' END AS topic,
-round_even((contains(lower(text), 'how')::INT + contains(lower(text), 'many')::INT + contains(lower(text), 'total')::INT) / 3.0::DOUBLE, 3) AS keyword_score FROM benchmark""")
+_GEOMETRY = "'\\b(triangle|area|coordinates?)\\b|geometry|heron|collinear'"
+
+
+@query(f"""WITH b AS (SELECT item_id, text, lower(replace(text, '-', '_')) AS low, list_filter(['How', 'many', 'total'], lambda w: contains(lower(text), lower(w))) AS found FROM benchmark)
+SELECT item_id, CASE WHEN length(text) > 40 THEN rtrim(text[:40]) || '…' ELSE text END AS preview, greatest(1, length(text) // 5)::BIGINT AS tokens, greatest(1, length(text) // 4)::BIGINT AS code_tokens, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+CASE WHEN item_id % 10 = 3 THEN 'game_simulation' WHEN regexp_matches(low, {_GEOMETRY}) THEN 'geometry' WHEN regexp_matches(low, 'game_simulation|game simulation|guess|points|win|srand|random') THEN 'game_simulation'
+WHEN regexp_matches(low, 'pattern|stars|pyramid|diamond|rows') THEN 'pattern_generation' WHEN regexp_matches(low, 'series|sum|factorial|term_i|rational') THEN 'series_calculation' ELSE 'unknown' END AS topic,
+array_to_string(found, ',') AS found, round_even(len(found) / 3, 3) AS keyword_score FROM b""")
 def text_functions(spark, sf_dir):
-    x = F.col("text")
-    keyword = T.keyword_score(x, ["how", "many", "total"])
-    return table(spark, sf_dir, "benchmark").select("item_id", T.preview(x, 40).alias("preview"), T.estimated_tokens(x).alias("tokens"), T.slug(x).alias("slug"), T.topic_of(x).alias("topic"), keyword.alias("keyword_score"))
+    x, words = F.col("text"), F.array(*map(F.lit, ("How", "many", "total")))
+    topic = T.topic_of(x, F.when(F.col("item_id") % 10 == 3, "Guessing game"))
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", T.preview(x, 40).alias("preview"), T.estimated_tokens(x).alias("tokens"), T.estimated_tokens(x, F.lit("code")).alias("code_tokens"), T.slug(x).alias("slug"), topic.alias("topic"),
+        F.array_join(T.keywords_found(x, words)[0], ",").alias("found"), T.keyword_score(x, words).alias("keyword_score"),
+    )
+
+
+@query(f"""WITH f AS (SELECT doc_id, 'doc' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS name, CASE WHEN doc_id % 2 = 0 THEN '# Part ' || coalesce(lang, '') || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, name, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM f),
+h AS (SELECT *, starts_with(ltrim(line, ' ' || chr(9)), '#') AS head FROM l),
+g AS (SELECT *, CASE WHEN ends_with(name, '.md') THEN sum((head AND pos > 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos) ELSE pos // 40 END AS passage FROM h),
+t AS (SELECT doc_id, passage, string_agg(line, chr(10) ORDER BY pos) AS text FROM g GROUP BY ALL)
+SELECT doc_id, count(*) AS passages FROM t WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY doc_id""")
+def file_passages(spark, sf_dir):
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt"))
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# Part "), F.coalesce("lang", F.lit("")), F.lit("\n"))).otherwise(""), F.coalesce("text", F.lit("")))
+    files = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), text.alias("text"))
+    return retrieval.passages_of(files, "doc_id", "name", "text").groupBy("doc_id").agg(F.count("*").alias("passages"))

@@ -25,6 +25,8 @@ def test_score_rounds_half_to_even(spark):
 def test_html_to_text(spark):
     row = spark.range(1).select(T.html_to_text(F.lit("<p>a &amp;lt; b\n c</p><br")).alias("x"), T.title(F.lit("<TITLE> A  &amp; B</TITLE>")).alias("t")).first()
     assert (row.x, row.t) == ("a < b c", "A & B")
+    assert spark.range(1).select(T.title(F.lit("<div>\n\u00a0</div>\n<p>first &lt;line</p>\nnext")).alias("t")).first().t == "first <line"
+    assert spark.range(1).select(T.collapse(F.lit("\u3000a\u00a0\u2003b\x85"))).first()[0] == "a b"
 
 
 def test_markdown_passages(spark):
