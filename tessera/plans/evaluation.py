@@ -30,8 +30,8 @@ n AS (SELECT p.run_id AS to_run, previous_run, r.id, topic, {_S} AS score, coale
 j AS (SELECT to_run, id, coalesce(b.score, 0) AS base_score, coalesce(n.score, 0) AS new_score, coalesce(b.ok, false) AS base_ok, coalesce(n.ok, false) AS new_ok, b.id IS NOT NULL AND n.id IS NOT NULL AS common FROM b FULL JOIN n USING (to_run, id))"""
 _DELTAS = f"""{_SIDES},
 t AS (SELECT to_run, count(*) FILTER (base_ok AND NOT new_ok) AS newly_broken, count(*) FILTER (common AND new_score - base_score < -20) AS big_drops, min(new_score - base_score) FILTER (common) AS largest_drop FROM j GROUP BY to_run),
-d AS (SELECT p.model, p.run_id, p.previous_run, p.accepted - o.accepted AS accepted_delta, round_even(p.avg_score - o.avg_score, 1) AS avg_delta,
-  {", ".join(f"round_even(p.{c}_rate - o.{c}_rate, 3) AS {c}_delta" for c in (*compare.RATES, "timeout"))}, coalesce(newly_broken, 0) AS newly_broken, coalesce(big_drops, 0) AS big_drops, largest_drop
+d AS (SELECT p.model, p.run_id, p.previous_run, p.accepted - o.accepted AS accepted_delta, round_even(p.avg_score - o.avg_score, 1) + 0::DOUBLE AS avg_delta,
+  {", ".join(f"round_even(p.{c}_rate - o.{c}_rate, 3) + 0::DOUBLE AS {c}_delta" for c in (*compare.RATES, "timeout"))}, coalesce(newly_broken, 0) AS newly_broken, coalesce(big_drops, 0) AS big_drops, largest_drop
   FROM p LEFT JOIN u o ON o.run_id = p.previous_run LEFT JOIN t ON to_run = p.run_id)"""
 _VERDICT = """
 w AS (SELECT *, list_filter([CASE WHEN accepted_delta < 0 THEN 'accepted' END, CASE WHEN avg_delta < -1 THEN 'avg_score' END, CASE WHEN compile_delta < 0 THEN 'compile_rate' END, CASE WHEN runtime_delta < 0 THEN 'runtime_rate' END,
@@ -145,7 +145,7 @@ def adapter_task_deltas(spark, sf_dir):
 
 
 @query(f"""{_SIDES}, x AS (SELECT j.*, topic, new_score - base_score AS delta FROM j JOIN n USING (to_run, id) WHERE common)
-SELECT topic, count(*) AS tasks, round_even(avg(delta), 3) AS avg_delta, sum(new_ok::INT - base_ok::INT)::BIGINT AS accepted_delta, count(*) FILTER (delta < 0) AS regressions,
+SELECT topic, count(*) AS tasks, round_even(avg(delta), 3) + 0::DOUBLE AS avg_delta, sum(new_ok::INT - base_ok::INT)::BIGINT AS accepted_delta, count(*) FILTER (delta < 0) AS regressions,
 arg_min(to_run || '/' || id, (delta, to_run || '/' || id)) AS worst_id, min(delta) AS worst_delta FROM x GROUP BY topic""")
 def delta_by_topic(spark, sf_dir):
     base, new = compare.against_previous(eval_results(spark, sf_dir))
@@ -201,7 +201,7 @@ def _pairs(spark, sf_dir):
 
 
 _CHANGES = f"""{_RUNS}, c AS (SELECT p.run_id, unnest([{", ".join(f"{{'metric': '{m}', 'sign': {s}, 'base': o.{m}::DOUBLE, 'new': p.{m}::DOUBLE}}" for m, s in verdicts.DIRECTIONS.items())}]) AS x FROM p LEFT JOIN u o ON o.run_id = p.previous_run),
-e AS (SELECT run_id, x.metric AS metric, x.base AS base, x.new AS new, round_even(x.new - x.base, 6) AS delta, x.sign AS sign FROM c),
+e AS (SELECT run_id, x.metric AS metric, x.base AS base, x.new AS new, round_even(x.new - x.base, 6) + 0::DOUBLE AS delta, x.sign AS sign FROM c),
 f AS (SELECT run_id, metric, base, new, delta, CASE WHEN delta IS NULL THEN 'unavailable' WHEN abs(delta) <= 1e-9 THEN 'no_change' WHEN sign * delta > 0 THEN 'improvement' ELSE 'regression' END AS change FROM e)"""
 
 
@@ -242,10 +242,10 @@ def _by_benchmark(spark, sf_dir):
 
 _ROLES = f"""{EVAL_SQL}, g AS (SELECT CASE WHEN contains(benchmark, 'strict') THEN 'strict' ELSE 'generated' END AS role, model, count(*) FILTER (accepted) AS accepted, round_even(avg({_S}), 2) AS avg,
   {", ".join(f"avg(coalesce({c}_passed, false)::INT) AS {c}" for c in ("compile", "runtime", "semantic"))} FROM r GROUP BY ALL),
-e AS (SELECT x.model, x.role, {", ".join(f"round_even(x.{c} - y.{c}, 3) AS {c}" for c in ("accepted", "avg", "compile", "runtime", "semantic"))} FROM g x JOIN g y ON x.role = y.role AND y.model = 'm0' WHERE x.model <> 'm0'),
+e AS (SELECT x.model, x.role, {", ".join(f"round_even(x.{c} - y.{c}, 3) + 0::DOUBLE AS {c}" for c in ("accepted", "avg", "compile", "runtime", "semantic"))} FROM g x JOIN g y ON x.role = y.role AND y.model = 'm0' WHERE x.model <> 'm0'),
 q AS (SELECT *, avg < -0.5 OR accepted < 0 OR compile < 0 OR runtime < 0 OR semantic < 0 AS regressed, avg >= 3 AND accepted >= 0 AS improved,
   CASE WHEN accepted < 0 OR avg < -1 OR runtime < 0 OR compile < 0 OR semantic < 0 THEN 'regression' WHEN accepted > 0 OR avg > 1 OR runtime > 0 THEN 'improvement' ELSE 'no_change' END AS state FROM e),
-k AS (SELECT s.model, s.avg AS sa, t.avg AS ta, s.regressed AS sr, t.regressed AS tr, s.improved AS si, t.improved AS ti, s.state AS ss, t.state AS ts, round_even(0.6 * s.avg + 0.4 * t.avg, 3) AS weighted FROM q s JOIN q t ON s.model = t.model AND s.role = 'strict' AND t.role = 'generated'),
+k AS (SELECT s.model, s.avg AS sa, t.avg AS ta, s.regressed AS sr, t.regressed AS tr, s.improved AS si, t.improved AS ti, s.state AS ss, t.state AS ts, round_even(0.6 * s.avg + 0.4 * t.avg, 3) + 0::DOUBLE AS weighted FROM q s JOIN q t ON s.model = t.model AND s.role = 'strict' AND t.role = 'generated'),
 m AS (SELECT *, CASE WHEN model = 'm2' THEN 'invalid_model_override' WHEN (sr AND ti) OR (tr AND si) THEN 'manual_review' WHEN (sr AND tr) OR weighted <= -3 THEN 'reject' WHEN weighted >= 3 AND NOT sr AND NOT tr THEN 'promote_default'
   WHEN abs(weighted) <= 0.5 AND NOT sr AND NOT tr THEN 'safe_no_change' ELSE 'candidate' END AS decision FROM k)"""
 
