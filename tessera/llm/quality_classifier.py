@@ -82,7 +82,8 @@ def vectors(texts) -> np.ndarray:
 
 
 def with_statistics(df: DataFrame, text: str = "text", vector: str = "vector") -> DataFrame:
-    """df without its text, with the vector of its statistics in one array column."""
+    """df without its text, with the vector of its statistics in one array column. Null texts are empty ones, which
+    have zeros; repeated rows have equal vectors; an empty table gives an empty one; a column named as the vector is replaced."""
 
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
@@ -142,7 +143,10 @@ class Model:
 
 
 def fit(labelled: DataFrame, label: str = "label", vector: str = "vector", **shrinkage) -> Model:
-    """A model from all rows of labelled whose label is 0 or 1. What reaches the driver is one row per class."""
+    """A model from all rows of labelled whose label is 0 or 1. What reaches the driver is one row per class.
+
+    Rows with another label or none are left out. Repeated rows count as often as they come, and contradicting
+    labels of one text count for both classes. Without rows of both classes, as of an empty table, all scores are 1/2."""
     rows = class_sums(labelled.where(F.col(label).isin(0, 1)), label, vector).collect()
     return Model(sorted(rows, key=lambda r: r["label"]), **shrinkage)
 

@@ -32,6 +32,12 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
 MIN_WORDS = 50
 
 
+def _kept_apart(count: Column) -> Column:
+    """The count, with a term that never adds anything: a filter on what follows from the counts isn't pushed below a
+    projection that holds it, where every use of the words would split the text again."""
+    return count + (F.monotonically_increasing_id() < 0).cast("int")
+
+
 def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words, n_shouted.
 
@@ -58,9 +64,7 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.col("_q_lines")
     longest = max(len(x.encode()) for x in STOP_WORDS)
     count = {
-        # never adds anything; but a filter on what follows from the counts isn't pushed below them, where
-        # every use of the words would split the text again
-        "n_words": F.size(w) + (F.monotonically_increasing_id() < 0).cast("int"),
+        "n_words": _kept_apart(F.size(w)),
         "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
         "n_lines": F.size(lines),
@@ -88,7 +92,8 @@ def compile_rules(rules=RULES) -> Column:
 def quality_rules(df: DataFrame, text: str = "text", rules=RULES, min_words: int = MIN_WORDS) -> DataFrame:
     """df with text_counts' columns, base_failed (too short, or more than half repeated) and kept.
 
-    Null and empty texts have no words: base_failed is true and kept false.
+    Null and empty texts have no words: base_failed is true and kept false. Repeated rows are judged one by
+    one; an empty table gives an empty one. Columns of df named base_failed or kept are replaced.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = text_counts(df, text).withColumn("base_failed", failed)

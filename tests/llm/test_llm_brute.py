@@ -3,15 +3,19 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tessera.llm import decontamination, line_dedup, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, warc
+from test_llm_leaks import passes, template
+
+from tessera.llm import decontamination, line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, warc
 
 
 def shingles(text, n):
@@ -112,6 +116,25 @@ def test_held_out_accuracy(spark):
     assert (x.predicted == x.quality).mean() >= max(0.8, x.quality.mean(), 1 - x.quality.mean())
 
 
+def test_scores_equal_a_plain_discriminant(spark, small):
+    got = {r.doc_id: r.score for r in quality_classifier.op2_quality_classifier(spark, small).collect()}
+    docs = dict(duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet'").fetchall())
+    labels = duckdb.sql(f"SELECT doc_id, quality FROM '{small}/labels.parquet'").fetchall()
+    x = {i: quality_classifier.statistics(t) for i, t in docs.items()}
+    known = {c: np.array([x[i] for i, q in labels if q == c and zlib.crc32(str(i).encode()) % 3 != 1]) for c in (0, 1)}
+    total = sum(map(len, known.values()))
+    pooled = sum((len(v) - 1) * np.cov(v.T) for v in known.values()) / (total - 2)
+    log = {}
+    for c, v in known.items():
+        cov = 0.9 * np.cov(v.T) + 0.1 * pooled
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
+        d = np.array(list(x.values())) - v.mean(0)
+        log[c] = np.log(len(v) / total) - 0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    z = log[1] - log[0]
+    want = dict(zip(x, 0.5 + 0.5 * z / (1 + np.abs(z)), strict=True))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in got)
+
+
 def test_templates(spark):
     item = "A train leaves Boston at 9 am and travels 120 km in 2 hours before it meets Alice , how many km does it travel per hour"
     docs = [
@@ -178,10 +201,22 @@ def test_pipeline(spark, small):
     texts = {i: "\n".join(x for x in t.split("\n") if (s, strip(x)) not in drop) for i, (t, s) in docs.items()}
     least = components(texts, 5, 80)
     texts = {i: t for i, t in texts.items() if least[i] == i}
-    bench = spark.read.parquet(f"{small}/benchmark.parquet")
-    leaks = {r.doc_id for r in decontamination.find_leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench).collect()}
+    items = [template(t) for (t,) in con.execute(f"SELECT text FROM '{small}/benchmark.parquet'").fetchall()]
+    runs = lambda x: {tuple(w[0] for w in x[i : i + 6]) for i in range(len(x) - 5)} | {tuple(w[1] for w in x[i : i + 6]) for i in range(len(x) - 5)} | {x[i + 1][0] for i in range(min(1, len(x) - 1))}
+    known = [(x, runs(x)) for x in items]
+    leaks = set()
+    for i, t in texts.items():
+        x = template(t)
+        have = runs(x) | {w[0] for w in x}
+        if any(have & r and passes(x, item) for item, r in known):
+            leaks.add(i)
     mix = corpus_pipeline.run(spark, small).toPandas()
     assert {(i, t) for i, t in zip(mix.doc_id, mix.text, strict=True)} <= {(i, t) for i, t in texts.items() if i not in leaks}
+    left = pd.DataFrame([(i, t, docs[i][1]) for i, t in texts.items() if i not in leaks], columns=["doc_id", "text", "source"])
+    con.execute("DROP VIEW documents")
+    con.register("documents", left)
+    want = {i: n for i, n in con.execute(f"SELECT doc_id, taken FROM ({mixing.SQL['op6_mixing']}) WHERE taken > 0").fetchall()}
+    assert mix.groupby("doc_id")["size"].sum().to_dict() == want
     sizes = {i: len(t.encode().split()) for i, t in texts.items() if i not in leaks}
     one = mix.drop_duplicates("source")
     assert one.source_size.sum() == sum(sizes.values())

@@ -65,3 +65,34 @@ def test_values(docs):
     assert all(not r.kept for r in quality_rules.quality_rules(docs).where("doc_id <= 4").collect())
     p = substring_dedup.repeated_passages(docs).collect()
     assert {(r.doc_id, r.start, r.end, r.partner_id, r.matched) for r in p} == {(5, 0, 40_000, 6, 40_000), (6, 0, 40_000, 5, 40_000)}
+
+
+def test_values_of_the_others(docs):
+    by = lambda rows, key="doc_id": {r[key]: r for r in rows}
+    lic = by(license_scan.license_scan(docs).collect())
+    assert all(r.sentence_ids == [] and r.licenses == [] and r.n_unmatched == 0 for r in lic.values())
+    sec = by(secret_scan.secret_scan(docs).collect())
+    assert all(r.spans == [] for r in sec.values())
+    lines = by(line_dedup.line_dedup(docs).collect())
+    assert (lines[2].text, lines[2].n_lines, lines[3].text, lines[3].n_lines, lines[4].n_lines, lines[None].n_dropped) == (None, 0, "", 1, 2, 0)
+    mix = [(r.doc_id, r["size"], r.source) for r in mixing.mix_sources(mixing.with_size(docs)).collect()]
+    assert sorted(mix, key=str) == sorted([(1, 6, "s"), (1, 6, "s"), (2, 0, None), (3, 0, "s"), (4, 0, None), (None, 6, "s"), (5, 40_000, "t"), (6, 40_000, "t"), (7, 4, "t")], key=str)
+    counts = by(quality_rules.quality_rules(docs).collect())
+    assert (counts[2].n_words, counts[4].n_words, counts[5].n_words, counts[None].n_repeat_words, counts[7].word_chars) == (0, 0, 40_000, 6, 15)
+    scores = _classify(docs).collect()
+    assert all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in scores) and len({r.score for r in scores if r.doc_id == 1}) == 1
+    warc_rows = [(r.record_id, r.type, r.payload_bytes) for r in _warc(docs).collect()]
+    assert sorted(x[1] for x in warc_rows) == ["response"] * 8 + ["revisit"] and ("<urn:page:2>", "response", 0) in warc_rows and ("<urn:page:>", "response", 11) in warc_rows
+    assert sorted(str(r.doc_id) for r in _leaks(docs).collect()) == ["2", "3", "4"]
+
+
+def test_contradicting_labels_count_each(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "x x x x"), (3, "a b d"), (4, "y y y y")], "doc_id long, text string")
+    x = quality_classifier.with_statistics(df).crossJoin(spark.createDataFrame([(0,), (1,), (None,), (7,)], "label int"))
+    assert {r.score for r in quality_classifier.score(quality_classifier.with_statistics(df), quality_classifier.fit(x)).collect()} == {0.5}
+
+
+def test_words_of_other_kinds_of_ids(spark):
+    rows = [("b", "one two three four five six seven"), ("a", "one two three four five six seven"), ("c", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.id: r.component_id for r in ngram_jaccard.jaccard_components(df).collect()} == {"a": "a", "b": "a", "c": "c"}
