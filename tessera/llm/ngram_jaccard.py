@@ -7,11 +7,12 @@ every subset of n2 - k2 of these is enumerated: similar sets agree wholly on one
 is the signature they share. Sets near a band's upper edge also take the next band's partition.
 
 Exact copies are folded into one representative before anything is compared. Each signature's members
-are first compared with its leader (the smallest id) only, the links found are joined into components,
-and then all that share a leader and are still apart are compared with each other: in blocks of a
-bounded size inside tasks, by a sketch that bounds the difference of two sets from below, so that few
-pairs leave a task. Every pair that passes is checked against the whole sets. Pairs within a component
-can't change it and are skipped; every other pair that shares a signature is compared.
+are first compared with its leader (the smallest id) only and the links found are joined into components.
+Then the members of each signature that still has several components are compared with each other: in
+tasks, in order of size, each with those in reach of its size, by sketches that bound the difference of
+two sets from below, so that few pairs leave a task. Every pair that passes is checked against the whole
+sets. Pairs within a component can't change it and are skipped; every other pair that shares a signature
+is compared. Signatures with the same members count once, large ones are dealt in blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,12 +34,14 @@ from .shingles import WordHashes, mixed, split_words, windows
 
 #: Words in a shingle and least similarity (percent) unless a caller says otherwise.
 N, PERCENT = 5, 80
-#: A signature is common if it has so many rows in the sample, and this share of it; so there are 1 / share at most.
-SAMPLE, COMMON_ROWS, COMMON_SHARE = 1 / 64, 50, 1 / 20_000
-#: Copies whose ids may be broadcast.
+#: A signature is common if it has so many rows in a sample of this share (3,200 rows or so).
+SAMPLE, COMMON_ROWS = 1 / 64, 50
+#: Copies whose ids, and common signatures, that may be broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Members of a leader in one block of the second comparison; cells of a sketch.
-BLOCK, CELLS = 1500, 128
+#: Members of a signature in one block of the second comparison; least cells of a sketch.
+BLOCK, CELLS = 4000, 1024
+#: Pairs that a task compares at a time.
+PAIRS = 50_000
 
 
 class PartEnum:
@@ -73,28 +77,30 @@ class PartEnum:
         b = self.band(size)
         return [b, b + 1] if size * 100 >= self.percent * self._low(b + 1) else [b]
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """n1 and the number of parts that a set may leave out.
-
-        Two sets of the band differ in k elements at most, so k // (k2 + 1) parts at most differ in more
-        than k2. Each set leaves out its poorest parts, whose signatures tell little; 2 x that number of
-        further parts make up for what both leave out. n1 is 0 where similar sets are equal."""
+    def parts(self, band: int) -> int:
+        """n1: one part more than those that may differ in more than k2 elements. 0 where similar sets are equal."""
         largest = self._low(band + 1) - 1
         k = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        if not k:
-            return 0, 0
-        bad = k // (self.k2 + 1)
-        out = (bad + 1) // 8
-        return bad + 1 + 2 * out, out
+        return k // (self.k2 + 1) + 1 if k else 0
+
+    def left_out(self, size: int, n1: int) -> int:
+        """Parts that a set of this size leaves out, its poorest, whose signatures tell little.
+
+        Similar sets of sizes a and b differ in (a + b)(100 - percent) / (100 + percent) elements at most, so
+        that over k2 + 1 is the most parts they can't agree on. Half of n1 - 1, less a set's share of these, may
+        be left out: what two sets leave out and what they can't agree on is n1 - 1 at most, so a part remains."""
+        d = (self.k2 + 1) * (100 + self.percent)
+        return max(0, ((n1 - 1) * d - 2 * size * (100 - self.percent)) // (2 * d))
 
     def __call__(self, elements: np.ndarray) -> np.ndarray:
-        """Signatures of a set of distinct hashes."""
+        """Signatures (of 48 bits) of a set of distinct hashes."""
         out = []
         value = mixed(elements ^ np.uint64(0x5851F42D4C957F2D))
         for band in self.instances(len(elements)) if len(elements) else []:
-            n1, skip = self.parts(band)
+            n1 = self.parts(band)
             if not n1:
                 continue
+            skip = self.left_out(len(elements), n1)
             part = (elements >> np.uint64(33)) % np.uint64(n1)
             cell = (part * np.uint64(self.n2) + (elements & np.uint64(0x7FFFFFFF)) % np.uint64(self.n2)).astype(np.int64)
             cells = n1 * self.n2
@@ -109,7 +115,7 @@ class PartEnum:
             for i, chosen in enumerate(self.subsets):
                 place = (keep.astype(np.uint64) * np.uint64(len(self.subsets) + 1) + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
                 out.append(mixed(sums[np.ix_(keep, chosen)].sum(1, dtype=np.uint64) + mixed(place)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return np.concatenate(out) >> np.uint64(16) if out else np.zeros(0, np.uint64)
 
 
 def shingle_set(hashes: WordHashes, text: str | None, n: int) -> np.ndarray:
@@ -118,22 +124,22 @@ def shingle_set(hashes: WordHashes, text: str | None, n: int) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall into each cell, 255 at most. Cells' differences of two sets add up to the
-    sets' difference at most. There are CELLS cells, or a power of two up to the set's size."""
-    cells = max(CELLS, 1 << (max(len(elements), 1).bit_length() - 1))
-    return np.minimum(np.bincount((elements >> np.uint64(20)).astype(np.int64) % cells, minlength=cells), 255).astype(np.uint8).tobytes()
+    """Parity of the number of elements in each cell, a bit each. An element that only one of two sets has changes one
+    bit, so the bits in which two sketches differ are at most as many as the sets' difference, and while the
+    difference is small against the cells, nearly as many. There are CELLS cells, or a power of two up to twice the set's size."""
+    cells = max(CELLS, 1 << (max(2 * len(elements), 1).bit_length() - 1))
+    return np.packbits(np.bincount((elements >> np.uint64(20)).astype(np.int64) % cells, minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def folded(s: bytes, cells: int) -> np.ndarray:
-    """A sketch brought down to fewer cells."""
-    x = np.frombuffer(s, np.uint8).astype(np.int32)
-    return x.reshape(-1, cells).sum(0) if len(x) > cells else x
+def folded(s: bytes, size: int) -> np.ndarray:
+    """A sketch brought down to a size in bytes: cells that fall together add up."""
+    return np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def far(a: bytes, b: bytes) -> int:
     """A lower bound of two sets' difference."""
-    cells = min(len(a), len(b))
-    return int(np.abs(folded(a, cells) - folded(b, cells)).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
 def signed(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
@@ -175,24 +181,24 @@ def sets_of(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return df.select(doc_id, text).mapInArrow(rows, f"id {df.schema[doc_id].dataType.simpleString()}, shingles array<long>")
 
 
-def shared(rows: DataFrame, total: int) -> DataFrame:
-    """Pairs (u, v): the smallest id of each signature and every other id that has it. rows: sig, id.
+def shared(rows: DataFrame) -> DataFrame:
+    """sig, lead, id: members of the signatures that several ids have; lead is the smallest. rows: sig, id.
 
-    Signatures meet in one shuffle. Common ones, found in a sample and few by their definition, don't
-    go through it: their smallest ids are found by sums of tasks and joined by broadcast. The sample
-    decides only the way, not the result."""
-    least = max(COMMON_ROWS, total * SAMPLE * COMMON_SHARE)
-    common = stage(rows.sample(SAMPLE, seed=1).groupBy("sig").count().where(F.col("count") >= least).select("sig"), "common")
-    rare = rows
-    if some := common.count():
-        rare = rows.join(F.broadcast(common), "sig", "left_anti")
+    Signatures meet in one shuffle. Common ones, found in a sample, don't go through it whole: their
+    smallest ids are found by sums of tasks and joined, by broadcast while they are few and else by a
+    join whose large keys Spark splits. The sample decides only the way, not the result."""
+    common = stage(rows.sample(SAMPLE, seed=1).groupBy("sig").count().where(F.col("count") >= COMMON_ROWS).select("sig"), "common")
+    rare, some = rows, common.count()
+    small = (lambda d: F.broadcast(d)) if some <= BROADCAST_IDS else (lambda d: d)
+    if some:
+        rare = rows.join(small(common), "sig", "left_anti")
     sig = Window.partitionBy("sig")
-    pairs = rare.withColumns({"u": F.min("id").over(sig), "z": F.max("id").over(sig)}).where("u <> z").select("u", F.col("id").alias("v"))
+    out = rare.withColumns({"lead": F.min("id").over(sig), "z": F.max("id").over(sig)}).where("lead <> z").select("sig", "lead", "id")
     if some:
-        often = rows.join(F.broadcast(common), "sig", "left_semi")
-        lead = stage(often.groupBy("sig").agg(F.min("id").alias("u")), "leaders")
-        pairs = pairs.unionByName(often.join(F.broadcast(lead), "sig").select("u", F.col("id").alias("v")))
-    return pairs.where("u <> v").distinct()
+        often = rows.join(small(common), "sig", "left_semi")
+        lead = stage(often.groupBy("sig").agg(F.min("id").alias("lead")), "leaders")
+        out = out.unionByName(often.join(small(lead), "sig").select("sig", "lead", "id"))
+    return out
 
 
 def near(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
@@ -222,40 +228,78 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("i") * 100 >= (F.size("a") + F.size("b") - F.col("i")) * percent).select("u", "v")
 
 
-def apart(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one group in different components that may be similar by size and sketch.
-
-    groups: leader, node, component, size, sketch. A group is dealt into blocks of about BLOCK members
-    and each pair of blocks is one task's work, so a large group spreads and no pair is made as a row
-    before it passes."""
-    counts = groups.groupBy("leader").agg(F.count("*").alias("m"), F.min("component").alias("a"), F.max("component").alias("z"))
-    counts = counts.where("m > 2 AND a <> z").select("leader", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(counts, "leader").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def within(groups: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places (x, y), x before y, of one group whose sizes may be similar; rows come by (group, size)."""
+    n = len(groups)
+    last = np.append(np.nonzero(np.diff(groups))[0] + 1, n)
+    upto = last[np.searchsorted(last, np.arange(n), side="right")]
+    base = np.cumsum(np.append(0, np.diff(groups) != 0)) * (np.int64(1) << 40)
+    reach = np.searchsorted(base + sizes, base + sizes * 100 // percent, side="right")
+    many = np.minimum(upto, reach) - np.arange(n) - 1
+    sums, at = np.cumsum(many), 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, side="right")))
+        m = many[at:to]
+        x = np.repeat(np.arange(at, to), m)
+        yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        at = to
+
+
+def apart(members: DataFrame, labels: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that share a signature, lie in different components and may be similar by size and sketch.
+
+    members: sig, id; labels: node, component; sized: node, size, sketch. Of signatures with the same
+    members one is taken. One with over BLOCK members is dealt into blocks, and each pair of blocks is a
+    group of its own, so that it spreads over tasks; no pair is made as a row before it passes."""
+    named = members.join(labels, F.col("id") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    sums = named.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("a"), F.max("component").alias("z"), total("id").alias("h"), total("id", F.lit(1)).alias("g"))
+    kept = sums.where("m > 2 AND a <> z").groupBy("m", "h", "g").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = named.join(kept, "sig").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leader", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "component", "size", "sketch")
-    kind = to_arrow_type(groups.schema["node"].dataType)
+    key = F.xxhash64("sig", F.least("b", "o"), F.greatest("b", "o"))
+    dealt = dealt.select(key.alias("key"), (F.col("blocks") > 1).alias("split"), "b", "o", "id", "component").join(sized, F.col("id") == F.col("node"))
+    dealt = dealt.select("key", "size", F.col("b").alias("b"), (F.col("split") & (F.col("b") != F.col("o"))).alias("two"), "id", "component", "sketch")
+    kind = to_arrow_type(members.schema["id"].dataType)
 
-    def compare(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        block = t.column("b").to_numpy()
-        nodes, component, size = (t.column(c).to_numpy() for c in ("node", "component", "size"))
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        key, size, b, two, ids, component = (t.column(c).to_numpy() for c in ("key", "size", "b", "two", "id", "component"))
         whole = t.column("sketch").to_pylist()
-        cells = np.array([folded(x, CELLS) for x in whole]).reshape(-1, CELLS)
-        left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
-        us, vs = [], []
-        for x in left:
-            y = right[(nodes[right] > nodes[x]) | (i != j)]
-            y = y[component[y] != component[x]]
-            few, many = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
-            y = y[few * 100 >= many * percent]
-            y = y[np.abs(cells[y] - cells[x]).sum(1) * (100 + percent) <= (size[y] + size[x]) * (100 - percent)]
-            y = np.array([v for v in y if far(whole[v], whole[x]) * (100 + percent) <= (size[v] + size[x]) * (100 - percent)], np.int64)
-            us.append(np.full(len(y), nodes[x]))
-            vs.append(nodes[y])
-        return pa.table({"u": pa.array(np.concatenate(us) if us else [], kind), "v": pa.array(np.concatenate(vs) if vs else [], kind)})
-
-    node = groups.schema["node"].dataType.simpleString()
-    return dealt.groupBy("leader", "i", "j").applyInArrow(compare, f"u {node}, v {node}").distinct()
+        long = np.array([len(x) * 8 > CELLS for x in whole])
+        cells = np.array([folded(x, CELLS // 8) for x in whole])
+        found = []
+        for x, y in within(key, size, percent):
+            ok = (component[x] != component[y]) & ~(two[x] & (b[x] == b[y]))
+            x, y = x[ok], y[ok]
+            most = (size[x] + size[y]) * (100 - percent) // (100 + percent)
+            close = np.bitwise_count(cells[x] ^ cells[y]).sum(1, dtype=np.int64) <= most
+            x, y, most = x[close], y[close], most[close]
+            for k in np.nonzero(long[x] & long[y])[0]:
+                if far(whole[x[k]], whole[y[k]]) > most[k]:
+                    most[k] = -1
+            x, y = x[most >= 0], y[most >= 0]
+            found.append(pd.DataFrame({"u": np.minimum(ids[x], ids[y]), "v": np.maximum(ids[x], ids[y])}).drop_duplicates())
+        both = pd.concat(found).drop_duplicates()
+        return pa.RecordBatch.from_arrays([pa.array(both[c], kind) for c in ("u", "v")], ["u", "v"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            key = batch.column(0).to_numpy()
+            cut = np.nonzero(key != key[-1])[0] if len(key) else []
+            if n < 5_000 or not len(cut):
+                continue
+            cut = int(cut[-1]) + 1  # the last group may go on in the next batch
+            yield compare(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+            held, n = [batch.slice(cut)], batch.num_rows - cut
+        if n:
+            yield compare(pa.Table.from_batches(held))
+
+    node = members.schema["id"].dataType.simpleString()
+    return dealt.repartition("key").sortWithinPartitions("key", "size").mapInArrow(rows, f"u {node}, v {node}").distinct()
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -270,14 +314,14 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     base = stage(signed(df, doc_id, text, n, percent), "signatures")
     named = base.where("id IS NOT NULL AND n_shingles > 0")
-    classes = named.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    classes = stage(named.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
     copies = stage(named.select("id", "digest").join(classes, "digest").where("id <> rep").select("id", "digest", "rep").distinct(), "copies")
     out_ = copies.select(F.col("id").alias("_i"), F.col("digest").alias("_d"))
     if copies.count() <= BROADCAST_IDS:
         out_ = F.broadcast(out_)
     reps = named.join(out_, (F.col("id") == F.col("_i")) & (F.col("digest") == F.col("_d")), "left_anti")
-    total = named.agg(F.sum(F.size("sigs"))).first()[0] or 0
-    pairs = stage(shared(reps.select(F.explode("sigs").alias("sig"), "id"), total), "pairs")
+    members = stage(shared(reps.select(F.explode("sigs").alias("sig"), "id")), "members")
+    pairs = members.where("lead <> id").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
     sized = named.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "sketch")
     texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
@@ -289,11 +333,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     again = named.groupBy("id").count().where("count > 1").select("id")
     same = copies.join(again, "id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     first = stage(checked(stage(near(pairs, sized, percent), "close")).unionByName(same).distinct(), "first")
-    labels = connected_components(first)
-    each = pairs.select(F.col("u").alias("leader"), F.col("v").alias("node")).unionByName(pairs.select(F.col("u").alias("leader"), F.col("u").alias("node")).distinct())
-    groups = each.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("component")).join(sized, "node")
-    more = checked(stage(apart(groups, percent), "rest"))
-    labels = stage(connected_components(first.unionByName(more)), "labels")
+    stars = connected_components(first)
+    rest = stage(apart(members.select("sig", "id"), stars, sized, percent), "rest")
+    stars = stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    labels = stage(connected_components(stars.unionByName(checked(rest))), "labels")
     out = base.join(copies.select(F.col("digest").alias("_d"), F.col("id").alias("_i"), "rep"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("_i")), "left")
     out = out.select("id", "n_shingles", F.coalesce("rep", "id").alias("node"))
     return out.join(labels, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
@@ -305,4 +348,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+b AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM b JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * i >= 90 * (p.n + q.n - i)),
+c AS (SELECT u, v FROM l UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(v) FROM c WHERE c.u = doc_id), doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id)"""
+}

@@ -16,7 +16,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of a text's words; hashes of recent words are kept, so most cost a look-up."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self) -> None:
         self.kept: dict[bytes, int] = {}
