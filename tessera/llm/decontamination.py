@@ -58,8 +58,8 @@ class Canon:
         self.ids: dict[str, int] = {}
         self.table = [np.zeros(1024, t) for t in (np.uint64, np.int8, np.uint64, np.int8, np.uint64, bool)]
 
-    def _add(self, word: str) -> int:
-        """Number of a word: its hash and type at a start, its hash and type within, its own hash, whether it ends a sentence."""
+    def _add(self, word: str) -> None:
+        """Number a word and keep its hash and type at a start, its hash and type within, its own hash, whether it ends a sentence."""
         core = "".join(_WORD.findall(word))
         low = core.lower()
         plain = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
@@ -76,15 +76,20 @@ class Canon:
             self.table = [np.concatenate([x, np.zeros_like(x)]) for x in self.table]
         for x, v in zip(self.table, (*start, *within, plain, word.endswith(_ENDS)), strict=True):
             x[n] = v
-        return n
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template hashes, slot types and own hashes of a text's words, those without letters or digits left out."""
         parts = text.split()
         if len(self.ids) > self.LIMIT:
             self._clear()
-        get, add = self.ids.get, self._add
-        at = np.fromiter((n if (n := get(w)) is not None else add(w) for w in parts), np.int64, len(parts))
+        ids = self.ids
+        try:
+            at = np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
+        except KeyError:
+            for w in parts:
+                if w not in ids:
+                    self._add(w)
+            at = np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
         start_hash, start_type, in_hash, in_type, own, ends = (x[at] for x in self.table)
         first = np.ones(len(at), bool)
         first[1:] = ends[:-1]
@@ -102,6 +107,9 @@ def _slots_only(types: np.ndarray, n: int) -> np.ndarray:
     return plain[n:] == plain[: len(plain) - n]
 
 
+_NONE = np.zeros((0, 2), np.int64)
+
+
 class Table:
     """Places (item, token) by window hash, sorted."""
 
@@ -122,10 +130,10 @@ class Table:
 
     def hits(self, w: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (item, shift from the item's places to the document's) of equal windows. w: hashes of the windows at places at."""
-        if not len(self.hashes) or not len(w):
-            return np.zeros((0, 2), np.int64)
         lo = np.searchsorted(self.hashes, w)
         some = np.nonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == w)[0]
+        if not len(some):
+            return _NONE
         lo, at = lo[some], at[some]
         many = np.searchsorted(self.hashes, w[some], side="right") - lo
         x = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -154,14 +162,13 @@ class Block:
             if other is not None:
                 only = _slots_only(np.append(np.int8(_NAME), types[1:n]), n)[0]
                 self.table(n, bool(only)).add(windows((own if only else other)[:n], n), k, [0])
-        for t in self.tables.values():
-            t.close()
+        self.tables = {k: t for k, t in self.tables.items() if len(t.close().hashes)}
 
     def table(self, n: int, words: bool) -> Table:
         return self.tables.setdefault((n, words), Table())
 
     def hits(self, hashes: np.ndarray, types: np.ndarray, own: np.ndarray) -> np.ndarray:
-        found = [np.zeros((0, 2), np.int64)]
+        found = []
         for (n, words), t in self.tables.items():
             if len(hashes) < n:
                 continue
@@ -173,7 +180,8 @@ class Block:
                 found.append(t.hits(w, at))
             else:
                 found.append(t.hits(windows(hashes, n), np.arange(len(hashes) - n + 1)))
-        return np.unique(np.concatenate(found), axis=0)
+        found = [x for x in found if len(x)]
+        return np.unique(np.concatenate(found), axis=0) if found else _NONE
 
 
 def stretch(types: list[int], item: list[int], doc: list[int], after: list[int], least: int, min_words: int) -> tuple[int, int]:
