@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -267,7 +266,8 @@ def apart(members: DataFrame, labels: DataFrame, sized: DataFrame, percent: int)
         whole = t.column("sketch").to_pylist()
         long = np.array([len(x) * 8 > CELLS for x in whole])
         cells = np.array([folded(x, CELLS // 8) for x in whole])
-        found = []
+        known, code = np.unique(ids, return_inverse=True)
+        found = np.zeros(0, np.int64)  # each pair once, whatever the signatures it shares
         for x, y in within(key, size, percent):
             ok = (component[x] != component[y]) & ~(two[x] & (b[x] == b[y]))
             x, y = x[ok], y[ok]
@@ -278,9 +278,9 @@ def apart(members: DataFrame, labels: DataFrame, sized: DataFrame, percent: int)
                 if far(whole[x[k]], whole[y[k]]) > most[k]:
                     most[k] = -1
             x, y = x[most >= 0], y[most >= 0]
-            found.append(pd.DataFrame({"u": np.minimum(ids[x], ids[y]), "v": np.maximum(ids[x], ids[y])}).drop_duplicates())
-        both = pd.concat(found).drop_duplicates()
-        return pa.RecordBatch.from_arrays([pa.array(both[c], kind) for c in ("u", "v")], ["u", "v"])
+            found = np.union1d(found, np.minimum(code[x], code[y]) * len(known) + np.maximum(code[x], code[y]))
+        u, v = np.divmod(found, len(known))
+        return pa.RecordBatch.from_arrays([pa.array(known[u], kind), pa.array(known[v], kind)], ["u", "v"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
