@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
+#: Folders of local applications without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one in local mode;
-    on a cluster the executors couldn't see that, so the setting is asked for."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one for each
+    application in local mode; on a cluster the executors couldn't see that, so the setting is asked for."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns for every operator."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def docs(spark):
 
 def _warc(df):
     pages = df.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
-    path = f"{shared_dir(df.sparkSession)}/warc-{id(df)}"
+    path = f"{shared_dir(df.sparkSession)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(pages, path)
     return warc.read_warc(df.sparkSession, path)
 
