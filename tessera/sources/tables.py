@@ -10,21 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Folders of local applications without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one for each
+    application in local mode; on a cluster the executors couldn't see that, so the setting is asked for."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """df written to the folder all executors share (spark.checkpoint.dir) and read back: what depends on chance in
-    it, as the bounds of a range partitioning, is then the same for every reader. In local mode the folder may be unset."""
+    """df written to the shared folder and read back: what depends on chance in it, as the bounds of a range
+    partitioning, is then the same for every reader."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
