@@ -20,42 +20,65 @@ BASE = [
     ("access", "AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", "[0-9a-f]{24,}", 0, 24),
 ]
-#: Further shapes: published token prefixes, signed tokens, whole private key blocks (header to end line, as headers are
-#: the same in all keys); and long mixed strings.
+#: Further shapes: published token prefixes, signed tokens; and long mixed strings.
 EXTRA = [
-    ("key", "gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-[^-]+){0,9}-----END [A-Z ]*PRIVATE KEY-----", None),
+    ("key", "gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}", None),
     ("mixed", "[A-Za-z0-9+_=-]{24,}", ("[0-9]", "[A-Z]", "[a-z]")),
 ]
+#: First and last line of a private key block. The block is the secret as a whole, as first lines are the same in all keys.
+KEY_LINE = "-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 #: A value counts as an example from so many owners, or so many repositories, on; below both it looks live.
 EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 100
-_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,hash:string>>"
+_MATCH = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
-def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, needs=()) -> Column:
-    """Spans of leftmost non-overlapping matches, in code points. A split gives the text between matches,
-    so a running sum of lengths gives the places."""
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """Leftmost non-overlapping matches: start, end (code points) and value of the group. A split gives the text
+    between matches, so a running sum of lengths gives the places."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_MATCH).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["0"])
         end = start + F.length(x["1"])
-        ok = F.length(x["2"]) >= least
-        for p in needs:
-            ok = ok & x["2"].rlike(p)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.sha2(x["2"], 256).alias("hash"))
-        return F.struct(end.alias("at"), F.when(ok, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+        match = F.struct(start.alias("start"), end.alias("end"), x["2"].alias("value"))
+        return F.struct(end.alias("at"), F.array_append(s["out"], match).alias("out"))
 
     zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("0"), found.alias("1"), values.alias("2"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, state, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), F.aggregate(zipped, state, step, lambda s: s["out"])).otherwise(F.array().cast(_MATCH))
+
+
+def _span(m: Column, kind: str, rank: int, secret: Column) -> Column:
+    return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), F.sha2(secret, 256).alias("hash"))
+
+
+def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, needs=()) -> Column:
+    """Spans of the matches whose value is long enough and matches all of needs."""
+
+    def good(m: Column) -> Column:
+        ok = F.length(m["value"]) >= least
+        for p in needs:
+            ok = ok & m["value"].rlike(p)
+        return ok
+
+    return F.transform(F.filter(_matches(text, pattern, group), good), lambda m: _span(m, kind, rank, m["value"]))
+
+
+def _key_blocks(text: Column) -> Column:
+    """Spans from a BEGIN line to the END line that comes next, whatever lies between; a BEGIN line that another
+    one follows starts none. Lines are found in one pass, so many BEGIN lines without an end cost no more."""
+    lines = _matches(text, KEY_LINE, 1)
+    pairs = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x, y: F.struct(x["start"].alias("start"), y["end"].alias("end"), F.concat(x["value"], y["value"]).alias("value")))
+    blocks = F.filter(pairs, lambda m: F.coalesce(m["value"] == "BEGINEND", F.lit(False)))
+    return F.transform(blocks, lambda m: _span(m, "key", len(BASE), F.substring(text, m["start"].cast("int") + 1, (m["end"] - m["start"]).cast("int"))))
 
 
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """df with _base and _extra: spans with the hash of their secret. Extra spans never overlap base ones."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("_base", F.concat(*[_spans(t, k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE)]))
-    extra = F.concat(*[_spans(t, "key", len(BASE), p, 0, 1, needs or ()) for _, p, needs in EXTRA])
+    extra = F.concat(*[_spans(t, "key", len(BASE), p, 0, 1, needs or ()) for _, p, needs in EXTRA], _key_blocks(t))
     free = F.filter(F.array_distinct(extra), lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return out.withColumn("_extra", free)
 
@@ -120,6 +143,12 @@ def _sql() -> str:
             f"SELECT r, source, doc_id, m[j] AS m, v[j] AS v, length(array_to_string(p[:j], '')) + length(array_to_string(m[:j - 1], '')) AS start FROM ("
             f"SELECT *, unnest(range(1, len(m) + 1)) AS j FROM (SELECT r, source, doc_id, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {g}) AS v FROM d WHERE regexp_matches(t, '{p}')))) WHERE {ok}"
         )
+    each.append(
+        f"SELECT r, source, doc_id, 'key' AS kind, {len(BASE)} AS rank, start, stop, sha256(substr(t, start + 1, stop - start)) AS hash FROM (SELECT *, lead(start + length(m)) OVER w AS stop, v || lead(v) OVER w AS ends FROM ("
+        f"SELECT r, source, doc_id, t, m[j] AS m, v[j] AS v, length(array_to_string(p[:j], '')) + length(array_to_string(m[:j - 1], '')) AS start FROM ("
+        f"SELECT *, unnest(range(1, len(m) + 1)) AS j FROM (SELECT r, source, doc_id, t, string_split_regex(t, '{KEY_LINE}') AS p, regexp_extract_all(t, '{KEY_LINE}', 0) AS m, regexp_extract_all(t, '{KEY_LINE}', 1) AS v FROM d WHERE regexp_matches(t, '{KEY_LINE}'))"
+        f")) WINDOW w AS (PARTITION BY r ORDER BY start)) WHERE ends = 'BEGINEND'"
+    )
     text = "kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
