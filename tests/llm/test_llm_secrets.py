@@ -39,7 +39,7 @@ def test_base_spans_stay_however_many_hold_them(spark):
 def test_key_blocks_of_any_content(spark):
     pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nComment: host-a-b-c-d-e-f-g-h-i-j-k-l-m-n\n\nlQOYBF\n=aB1\n-----END PGP PRIVATE KEY BLOCK-----"
     dashed = BLOCK.format("Comment: " + "-".join("abcdefghijklmnop") + "\n" + "- -- ----- x\n" * 300)
-    many = BLOCK[:31] * 20_000
+    many = BLOCK[:31] * 3_000
     got = scanned(spark, [(1, "a", pgp), (2, "b", "é " + dashed + " tail " + pgp), (3, "c", many + "\n" + BLOCK[-29:])])
     assert got[1] == [("key", 0, len(pgp), 2, 2)]
     assert got[2] == [("key", 2, 2 + len(dashed), 1, 1), ("key", 8 + len(dashed), 8 + len(dashed) + len(pgp), 2, 2)]
