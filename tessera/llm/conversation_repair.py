@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import stage, table
 
@@ -34,6 +34,7 @@ STATES, ENDS = 4, 0b1001
 SPREAD = 2 * INSERT + DELETE
 _ONES = int("1" * (SPREAD + 1), 16)
 _ALL = (1 << STATES * (SPREAD + 1)) - 1
+_COSTS = ArrayType(LongType())
 _WHITE = " \t\n\x0b\f\r"
 
 
@@ -92,7 +93,7 @@ def _word(costs: list[int]) -> tuple[int, int]:
 END = [_cost(_inserting(_ONES * ENDS), 0, s) for s in range(STATES)]
 
 
-@functools.lru_cache(maxsize=10_000)
+@functools.lru_cache(maxsize=1000)
 def crossing(codes: str) -> tuple[int, ...]:
     """What a piece costs from each state (by fours) to each state behind it, -1 where there is no way."""
     ways = []
@@ -104,7 +105,7 @@ def crossing(codes: str) -> tuple[int, ...]:
     return tuple(-1 if ways[to][s] is None else ways[to][s] for s in range(STATES) for to in range(STATES))
 
 
-@functools.lru_cache(maxsize=10_000)
+@functools.lru_cache(maxsize=1000)
 def trace(codes: str, after: tuple[int, ...]) -> tuple[tuple[int, str], ...]:
     """For each state before a piece: the state behind it and its least cheapest script. after: costs of the
     rest by state. A script has, for each row, U or A for each inserted turn and then k (kept), - (deleted), u or a (new role)."""
@@ -145,18 +146,18 @@ def _costs_after(matrices: list) -> tuple[list[list[int]], list[int]]:
     return after[::-1], [int(c) for c in now]
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(_COSTS)
 def _crossing(codes: pd.Series) -> pd.Series:
     return codes.map(lambda c: list(crossing(c)))
 
 
-@F.pandas_udf("struct<after:array<array<bigint>>,cost:bigint>")
+@F.pandas_udf(StructType().add("after", ArrayType(_COSTS)).add("cost", LongType()))
 def _after(matrices: pd.Series) -> pd.DataFrame:
     both = [_costs_after(list(m)) for m in matrices]
     return pd.DataFrame({"after": [a for a, _ in both], "cost": [now[0] for _, now in both]})
 
 
-@F.pandas_udf("array<struct<to:int,script:string>>")
+@F.pandas_udf(ArrayType(StructType().add("to", IntegerType()).add("script", StringType())))
 def _trace(codes: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([[{"to": s, "script": x} for s, x in trace(c, tuple(int(v) for v in a))] for c, a in zip(codes, after, strict=True)])
 
@@ -224,7 +225,7 @@ def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     flat = rows.select("_conv", "_role", "_sha", "_at", "_letter", "_blank", "_cut").alias("r").join(seen.alias("s"), F.expr("r._conv <=> s._conv AND r._role = s._role AND r._sha = s._sha"), "left")
     flat = flat.select("r._conv", "_at", "_letter", "_blank", (~F.col("_blank") & F.coalesce(F.col("_at") > F.col("_first"), F.lit(False))).alias("_again"), "_cut")
     flat = flat.withColumn("_short", F.col("_cut") & ~F.col("_blank") & ~F.col("_again"))
-    code = F.when(F.col("_blank") | F.col("_again"), "-").when("_short", F.upper("_letter")).otherwise(F.col("_letter"))
+    code = F.when(F.col("_blank") | F.col("_again"), "-").when(F.col("_short"), F.upper("_letter")).otherwise(F.col("_letter"))
     each = F.sort_array(F.collect_list(F.struct("_at", "_letter", code.alias("_code"))))
     count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
     pieces = flat.groupBy("_conv", F.shiftright("_at", piece_bits).alias("_piece")).agg(each.alias("_each"), count("_blank"), count("_again"), count("_short"))
