@@ -16,6 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ BROADCAST_DIGESTS = 100_000
 RECORDS_PER_FILE = 2_000
 #: Largest file that is read; a larger one fails the read with a message, it is never passed over.
 MAX_FILE_BYTES = 1 << 30
+#: Content of a gzip member at most; what a larger one holds beyond is quarantined, so a bomb can't fill a task.
+MAX_MEMBER_BYTES = 1 << 28
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000002ff03000000000000000000")
@@ -42,7 +45,8 @@ _RECORDS = "file string, start bigint, end bigint, gap string, type string, reco
 
 
 def _urn(x) -> str:
-    return f"<urn:page:{'' if x is None else x}>"
+    """A record id; percent signs keep line feeds and brackets out of the header and tell an empty id (%) from none."""
+    return f"<urn:page:{'' if x is None else quote(str(x), safe='') or '%'}>"
 
 
 def record(page_id, uri: str | None, digest: str, first, payload: bytes) -> bytes:
@@ -93,25 +97,44 @@ class Damaged(Exception):
     pass
 
 
-def _parse(data: bytes, at: int) -> tuple[int, dict, bytes]:
-    """The record at a version line: its end, headers (lower case) and block. Raises Damaged."""
+class _Blanks:
+    """Places of blank lines, each looked for once as long as one asks from left to right."""
+
+    _LINE = re.compile(rb"\r?\n\r?\n")
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.since, self.found = data, 0, self._LINE.search(data)
+
+    def after(self, at: int) -> re.Match | None:
+        if at < self.since or self.found and self.found.start() < at:
+            self.since, self.found = at, self._LINE.search(self.data, at)
+        return self.found
+
+
+def _parse(data: bytes, at: int, blanks: _Blanks) -> tuple[int, dict, bytes]:
+    """The record at a version line: its end, headers (lower case) and block. Raises Damaged.
+
+    Headers are read up to the first bad line, and a version line is one: a run of them costs one look each."""
     version = _VERSION.match(data, at)
     if not version:
         raise Damaged("no version line")
-    close = re.compile(rb"\r?\n\r?\n").search(data, version.end() - 1)
+    close = blanks.after(version.end() - 1)
     if not close:
         raise Damaged("headers don't end")
-    head = {}
-    for line in data[version.end() : close.start()].split(b"\n"):
-        name, colon, value = line.partition(b":")
+    head, pos = {}, version.end()
+    while pos <= close.start():
+        stop = data.find(b"\n", pos, close.start())
+        stop = close.start() if stop < 0 else stop
+        name, colon, value = data[pos:stop].partition(b":")
         if not colon:
             raise Damaged("bad header")
         head[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        pos = stop + 1
     length = head.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise Damaged("no content length")
     end = close.end() + int(length)
-    mark = re.compile(rb"\r?\n\r?\n").match(data, end)
+    mark = _Blanks._LINE.match(data, end)
     if end > len(data) or not mark:
         raise Damaged("block doesn't end where its length says")
     return mark.end(), head, data[close.end() : end]
@@ -132,59 +155,75 @@ def _payload(head: dict, block: bytes) -> bytes:
     return body
 
 
+def _fed(d, chunk: bytes, out: list[bytes]) -> tuple[bool, str]:
+    """Whether a chunk could be decompressed whole, and the fault; out gets what comes out before the byte that fails,
+    which is found by halves."""
+    while chunk:
+        before = d.copy()
+        try:
+            out.append(d.decompress(chunk))
+            return True, ""
+        except zlib.error as e:
+            fault, d = f"gzip: {e}", before
+        half = chunk[: len(chunk) // 2]
+        if not half:
+            break
+        trial = d.copy()
+        try:
+            out.append(trial.decompress(half))
+            d, chunk = trial, chunk[len(half) :]
+        except zlib.error:
+            chunk = half
+    return False, fault
+
+
 def _member(data: bytes, at: int) -> tuple[int | None, bytes, str | None]:
     """End, content and fault of the gzip member at a place. With a fault there is no end, and the content
     is what comes out before it."""
-    d, pos, out = zlib.decompressobj(31), at, []
+    d, pos, out, size, step = zlib.decompressobj(31), at, [], 0, 64
     while not d.eof and pos < len(data):
-        before = d.copy()
-        try:
-            out.append(d.decompress(data[pos : pos + 65536]))
-        except zlib.error as e:
-            for k in range(pos, min(pos + 65536, len(data))):  # up to the byte that fails
-                try:
-                    out.append(before.decompress(data[k : k + 1]))
-                except zlib.error:
-                    break
-            return None, b"".join(out), f"gzip: {e}"
-        pos += 65536
+        held = len(out)
+        good, fault = _fed(d, data[pos : pos + step], out)
+        size += sum(map(len, out[held:]))
+        if not good:
+            return None, b"".join(out), fault
+        if size > MAX_MEMBER_BYTES:
+            return None, b"".join(out)[:MAX_MEMBER_BYTES], f"gzip member of over {MAX_MEMBER_BYTES} bytes"
+        pos, step = pos + step, min(65536, 4 * step)  # 64 KB give 64 MB at most
     if not d.eof:
         return None, b"".join(out), "gzip member doesn't end"
     return min(pos, len(data)) - len(d.unused_data), b"".join(out), None
 
 
-def _record(data: bytes, at: int) -> tuple[int, dict, bytes]:
-    end, head, block = _parse(data, at)
+def _record(data: bytes, at: int, blanks: _Blanks) -> tuple[int, dict, bytes]:
+    end, head, block = _parse(data, at, blanks)
     return end, head, _payload(head, block)
 
 
 def _inside(plain: bytes) -> list[tuple[str | None, dict, bytes]]:
     """Records of a member's content, and the reasons of the gaps between them."""
-    pos, found = 0, []
+    pos, found, blanks = 0, [], _Blanks(plain)
     while pos < len(plain):
-        try:
-            end, head, body = _record(plain, pos)
+        lost, end, why = pos, None, None
+        while end is None and pos < len(plain):
+            try:
+                end, head, body = _record(plain, pos, blanks)
+            except Damaged as e:
+                why = why or str(e)
+                m = _VERSION.search(plain, pos + 1)
+                pos = m.start() if m else len(plain)
+        if why:
+            found.append((f"{why}; decompressed bytes {lost} to {pos} of the member", {}, b""))
+        if end is not None:
             found.append((None, head, body))
-        except Damaged as e:
-            end = pos + 1
-            while m := _VERSION.search(plain, end):
-                end = m.start()
-                try:
-                    _record(plain, end)
-                    break
-                except Damaged:
-                    end += 1
-            else:
-                end = len(plain)
-            found.append((f"{e}; decompressed bytes {pos} to {end} of the member", {}, b""))
-        pos = end
+            pos = end
     return found
 
 
-def _take(data: bytes, at: int) -> tuple[int | None, list[tuple[str | None, dict, bytes]], str | None]:
+def _take(data: bytes, at: int, blanks: _Blanks) -> tuple[int | None, list[tuple[str | None, dict, bytes]], str | None]:
     """End, records (and gaps) and fault of the member or the record at a place. Raises Damaged if no record can be read."""
     if data[at : at + 2] != b"\x1f\x8b":
-        end, head, body = _record(data, at)
+        end, head, body = _record(data, at, blanks)
         return end, [(None, head, body)], None
     end, plain, fault = _member(data, at)
     found = _inside(plain)
@@ -197,24 +236,23 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict, bytes]]:
     """(start, end, reason, headers, payload) of every record, and of every gap: with a reason and without headers.
 
     Start and end are places in data. A record inside a member has those of the member; a gap inside one
-    has them too, and its reason tells the decompressed bytes."""
-    at = 0
+    has them too, and its reason tells the decompressed bytes. Each candidate is decoded once."""
+    at, blanks, known = 0, _Blanks(data), None
     while at < len(data):
         try:
-            end, found, fault = _take(data, at)
+            end, found, fault = known or _take(data, at, blanks)
         except Damaged as e:
             end, found, fault = None, [], str(e)
+        known = None
         if end is None:
             end = at
-            while m := _START.search(data, end + 1):
+            while known is None and (m := _START.search(data, end + 1)):
                 end = m.start()
                 try:
-                    _take(data, end)
-                    break
+                    known = _take(data, end, blanks)
                 except Damaged:
                     pass
-            else:
-                end = len(data)
+            end = end if known else len(data)
         for why, head, body in found:
             yield at, end, why, head, body
         if fault:
@@ -267,7 +305,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
     kind = pages.schema["page_id"].dataType
-    number = lambda c: F.when(F.col(c) != _urn(None), F.regexp_extract(c, "^<urn:page:(.*)>$", 1)).cast(kind)
+    urn = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
+    number = lambda c: F.when(urn(c) == "%", "").when(urn(c) != "", F.try_url_decode(urn(c))).cast(kind)
     read = read_warc(spark, path, payload=False).where("gap IS NULL").select(number("record_id").alias("page_id"), "type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "header_digest")
     full = read.where("type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     revisits = read.where("type = 'revisit'").join(full, (F.col("refers_to") == F.col("_id")) & (F.col("header_digest") == F.col("_digest"))).select("page_id", "type", "refers_to", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,29 @@ def test_large_files_fail_loudly(spark, monkeypatch):
     monkeypatch.setattr(warc, "MAX_FILE_BYTES", 10)
     with pytest.raises(Exception, match="over 10 bytes"):
         _written(spark, [(1, None, "a")]).select(F.col("file")).collect()
+
+
+def test_long_damaged_regions_take_seconds():
+    """Time grows with the bytes: a megabyte of version lines, thousands of cut members, both between good records."""
+    first, last = (gzip.compress(r) for r in records()[:2])
+    for middle in (b"WARC/1.1\r\n" * 100_000, b"WARC/1.1\r\na: b\r\n" * 60_000, b"".join(gzip.compress(records()[0])[:150] for _ in range(4000)), b"\x1f\x8b\x08\0" * 100_000):
+        began = time.perf_counter()
+        assert bodies(first + middle + last) == BODIES[:2]
+        assert time.perf_counter() - began < 20
+
+
+def test_a_bomb_is_quarantined(monkeypatch):
+    monkeypatch.setattr(warc, "MAX_MEMBER_BYTES", 1 << 20)
+    first, last = (gzip.compress(r) for r in records()[:2])
+    bomb = gzip.compress(records()[2] + bytes(1 << 26))
+    got = list(warc.salvage(first + bomb + last))
+    assert [x[4] for x in got if x[2] is None] == [BODIES[0], BODIES[2], BODIES[1]]
+    assert any(x[2] and "over 1048576 bytes" in x[2] for x in got)
+
+
+def test_text_ids(spark, monkeypatch):
+    rows = [("", "x" * 200), (None, "x" * 200), ("a\r\nb", "y" * 200), ("%>", "z"), ("c d", "y" * 200)]
+    df = spark.createDataFrame([(i, None, t) for i, t in rows], "page_id string, url string, html string")
+    monkeypatch.setattr(warc, "table", lambda *_: df)
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.op5_warc(spark, "").collect()}
+    assert got == {("", "response", None), (None, "revisit", ""), ("a\r\nb", "response", None), ("c d", "revisit", "a\r\nb"), ("%>", "response", None)}
