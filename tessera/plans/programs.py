@@ -74,7 +74,33 @@ def static_analysis(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), C.risk(F.col("errors"), F.col("warnings")).alias("risk"), C.semantic_verdict(F.col("errors"), F.col("warnings"), 2).alias("verdict"))
 
 
-@query()
+def _clean_sql() -> str:
+    """Pages cut into pieces, a dropped subtree's depth as a running sum that can't fall below zero, and texts put together again."""
+    spaces = "[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    piece = "(?is)<(?:script\\b.*?</script\\s*>|style\\b.*?</style\\s*>|!--.*?-->|(?:/?[a-z]|[!?])(?:[^''\">]|\"[^\"]*\"|''[^'']*'')*>|/?[a-z][^>]*>)|[^<]+|<"
+    names = lambda tags: ", ".join(f"'{t}'" for t in sorted(tags))
+    plain, coded = "p", "x"
+    for sign, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;"), ("chr(160)", "&nbsp;"), ("&", "&amp;")):
+        plain = f"replace({plain}, '{entity}', {sign if sign[0] == 'c' else f"'{sign}'"})"
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        coded = f"replace({coded}, '{sign}', '{entity}')"
+    out, own = "h", "|".join(H.OWN_LINE)
+    for tag in H.MAY_BE_EMPTY:
+        out = f"regexp_replace({out}, '<{tag}>\\s*</{tag}>', '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(</(?:{own})>)', '\\1' || chr(10), 'g'), '(<(?:{own})>)', chr(10) || '\\1', 'g')"
+    return f"""WITH t AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{piece}') AS l FROM pages), u AS (SELECT page_id, unnest(range(len(l))) AS i, unnest(l) AS p FROM t),
+n AS (SELECT *, starts_with(p, '</') AS shut, CASE WHEN regexp_matches(p, '(?is)^<(script|style)\\b.*</(script|style)\\s*>$') THEN '' ELSE lower(regexp_extract(p, '(?i)^</?([a-z][a-z0-9]*)', 1)) END AS name FROM u),
+s AS (SELECT *, sum(CASE WHEN name NOT IN ({names(H.DROPPED)}) OR regexp_matches(p, '^<[A-Za-z][^>]*/>$') THEN 0 WHEN shut THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM n),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM s),
+o AS (SELECT *, depth = 0 AND coalesce(lag(depth) OVER (PARTITION BY page_id ORDER BY i), 0) = 0 AS outside FROM d),
+f AS (SELECT *, coalesce(last_value(CASE WHEN outside AND name = 'pre' THEN NOT shut END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i), false) AS pre, {plain} AS x0 FROM o),
+x AS (SELECT *, CASE WHEN pre THEN x0 ELSE trim(regexp_replace(x0, '{spaces}+', ' ', 'g')) END AS x FROM f),
+w AS (SELECT page_id, i, CASE WHEN NOT outside THEN '' WHEN p[1] <> '<' OR p = '<' THEN {coded} WHEN name IN ({names(H.ALLOWED)}) THEN CASE WHEN shut THEN '</' ELSE '<' END || name || '>' ELSE '' END AS y FROM x),
+h AS (SELECT page_id, coalesce(string_agg(y, '' ORDER BY i), '') AS h FROM (SELECT page_id FROM pages) LEFT JOIN w USING (page_id) GROUP BY page_id)
+SELECT page_id, regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{spaces}+|{spaces}+$', '', 'g') AS html FROM h"""
+
+
+@query(_clean_sql())
 def clean_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.cleaned(F.col("html")).alias("html"))
 
