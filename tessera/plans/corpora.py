@@ -79,9 +79,14 @@ def routing(spark, sf_dir):
     return corpus.routed(eval_results(spark, sf_dir).select("topic"), *_policy(spark)).groupBy("topic", "adapter").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('click', 'a1', 'blocked'), ('click', 'a2', 'ok'), ('view', 'a3', 'ok'), ('view', 'a2', 'ok'), ('purchase', 'a4', 'ok'), ('purchase', 'a9', 'unknown')) t(topic, name, state)")
+@query("""WITH p AS (SELECT n_name AS topic, unnest(['a' || n_nationkey, 'a' || n_nationkey * 3, 'a' || n_nationkey * 7 % 50]) AS name FROM nation), a AS (SELECT 'a' || s_suppkey AS name, s_acctbal < 3000 AS blocked FROM supplier WHERE s_suppkey % 5 <> 0)
+SELECT topic, name, CASE WHEN blocked THEN 'blocked' WHEN blocked IS NULL THEN 'unknown' ELSE 'ok' END AS state FROM p LEFT JOIN a USING (name)""")
 def routing_audit(spark, sf_dir):
-    return corpus.routing_audit(*_policy(spark))
+    name = lambda k: F.concat(F.lit("a"), k.cast("string"))
+    n = F.col("n_nationkey")
+    policy = table(spark, sf_dir, "nation").select(F.col("n_name").alias("topic"), F.array(name(n), name(n * 3), name(n * 7 % 50)).alias("allowed"))
+    adapters = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(name(F.col("s_suppkey")).alias("name"), (F.col("s_acctbal") < 3000).alias("blocked"))
+    return corpus.routing_audit(policy, adapters)
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
