@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.plans.registry import query
-from tessera.sources import folders, lines
+from tessera.sources import folders, lines, listings, problems
 from tessera.sources.tables import EVAL_SQL, eval_results, shared_dir, table
 from tessera.streaming import chunks, sinks
 
@@ -166,3 +166,42 @@ def upserted_bests(spark, sf_dir):
     for batch_id in (0, 1, 1, 2, 2):
         write(e.where(F.col("event_id") % 3 == batch_id), batch_id)
     return sinks.best_table(spark, path)
+
+
+_PATHS = """SELECT CASE page_id % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'src/cache/deep/' WHEN 2 THEN 'runs/old/' WHEN 3 THEN 'src\\a/' WHEN 4 THEN '' ELSE 'tests/.git/' END || 'p' || page_id || CASE page_id % 5 WHEN 0 THEN '.PYC' WHEN 1 THEN '.tmp' ELSE '.md' END AS path FROM pages"""
+
+
+@query(f"""WITH p AS (SELECT path, replace(path, chr(92), '/') AS q FROM ({_PATHS.replace(chr(92) * 2, chr(92))})),
+r AS (SELECT *, CASE WHEN q LIKE 'src/cache/%' THEN 'src/cache' WHEN q LIKE 'runs/old/%' THEN 'runs/old' WHEN q LIKE 'tests/.git/%' THEN 'tests/.git' WHEN q LIKE '%.PYC' OR q LIKE '%.tmp' THEN q END AS w,
+  CASE WHEN q LIKE 'runs/old/%' THEN 'run history' WHEN q LIKE 'src/cache/%' OR q LIKE 'tests/.git/%' THEN 'development or cache' WHEN q LIKE '%.PYC' THEN 'suffix .pyc' ELSE 'suffix .tmp' END AS why FROM p)
+SELECT DISTINCT w AS path, why AS reason FROM r WHERE w IS NOT NULL UNION ALL SELECT path, NULL FROM r WHERE w IS NULL""")
+def release_paths(spark, sf_dir):
+    k = F.col("page_id") % 6
+    folder = F.when(k == 0, "src/").when(k == 1, "src/cache/deep/").when(k == 2, "runs/old/").when(k == 3, "src\\a/").when(k == 4, "").otherwise("tests/.git/")
+    ending = F.when(F.col("page_id") % 5 == 0, ".PYC").when(F.col("page_id") % 5 == 1, ".tmp").otherwise(".md")
+    files = table(spark, sf_dir, "pages").select(F.concat(folder, F.lit("p"), F.col("page_id").cast("string"), ending).alias("path"))
+    taken, left = listings.released(files, "path", (".git", "cache"), (".pyc", ".tmp"), {"runs/old": "run history"})
+    return left.unionByName(taken.withColumn("reason", F.lit(None).cast("string")))
+
+
+@query("SELECT 'kind' || s_nationkey % 3 AS report_type, 'every,tag' || s_nationkey % 3 AS tags, count(*) AS files, sum(octet_length(encode(s_name)) + 1)::BIGINT AS bytes FROM supplier GROUP BY ALL")
+def report_listing(spark, sf_dir):
+    path = _place(spark, "reports")
+    kind = F.concat(F.lit("kind"), (F.col("s_nationkey") % 3).cast("string"))
+    table(spark, sf_dir, "supplier").select(kind.alias("kind"), "s_name").write.partitionBy("kind").option("maxRecordsPerFile", 1).text(path)
+    roots = {f"kind{k}": (f"{path}/kind=kind{k}", (f"tag{k}", "every")) for k in range(3)}
+    found = listings.report_index(spark, roots, ("txt",))
+    return found.groupBy("report_type", F.array_join("tags", ",").alias("tags")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("""WITH p AS (SELECT item_id, 'item ' || item_id // 2 AS task_id, text FROM benchmark WHERE trim(text) <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY task_id, text) AS n FROM p)
+SELECT 'item_' || item_id // 2 || '~' || CASE WHEN n > 1 THEN '_' || n ELSE '' END || '.md' AS name, '# ' || task_id || chr(10) || chr(10) || '- Topic: benchmark' || chr(10) || chr(10) || '## Problem' || chr(10) || chr(10) || trim(text) || chr(10) AS text FROM n""")
+def problem_files(spark, sf_dir):
+    """Written twice, and read back."""
+    b = table(spark, sf_dir, "benchmark").repartition(3, "item_id").sortWithinPartitions("item_id")
+    rows = b.select(F.concat(F.lit("item "), F.floor(F.col("item_id") / 2).cast("string")).alias("task_id"), F.lit("benchmark").alias("topic"), F.lit(None).cast("string").alias("difficulty"), F.col("text").alias("prompt"), F.lit("").alias("solution"))
+    path = _place(spark, "problems")
+    problems.write_problems(spark, rows.limit(3), path)
+    problems.write_problems(spark, rows, path)
+    return spark.read.text(path, wholetext=True).select(F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("name"), F.col("value").alias("text"))

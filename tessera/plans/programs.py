@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import code as C
 from tessera.functions import html as H
+from tessera.functions import scopes
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -108,3 +109,46 @@ def clean_pages(spark, sf_dir):
 @query()
 def page_chunks(spark, sf_dir):
     return H.chunks(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+#: Answers with functions within functions, a brace in a string, several fences and other languages.
+_CASES = """concat(CASE (conv_id + turn) % 5 WHEN 0 THEN concat('```text', chr(10), 'sample input', chr(10), '```', chr(10), '```C99 ', chr(10), '#include <stdio.h>', chr(10), 'int f(int a) { return a; } int main ( void ) { int n; scanf("%d", &n); if (n) { printf("}"); void g(int b) { b++; } } return 0; }', chr(10), '```')
+WHEN 1 THEN concat('int main(void) { /* int h() { */ while (x) { double k (char c) { int q() { } } } return(0); } std::cout << "x"; ', chr(10), 'Input: 1') WHEN 2 THEN concat('def f(x): console.log(', chr(39), 'a', chr(39), ') { " }')
+WHEN 3 THEN concat('int a() { } int b() { long z(void) { } } }  } int c() { }', chr(10), '輸出：') ELSE 'class A { string s; namespace' END, chr(10), coalesce(text, ''))"""
+_PROGRAM = """_c AS (SELECT conv_id, turn, {cases} AS x FROM conversations), _l AS (SELECT *, regexp_extract_all(x, '(?s)```([^\\n`]*)\\n(.*?)```', 1) AS langs, regexp_extract_all(x, '(?s)```([^\\n`]*)\\n(.*?)```', 2) AS codes FROM _c),
+_p AS (SELECT conv_id, turn, x, regexp_replace(CASE WHEN len(codes) = 0 THEN x ELSE codes[greatest(1, coalesce(list_position(list_transform(langs, lambda l: lower(trim(l)) IN ('c', 'c99', 'c11')), true), 0))] END, '^\\s+|\\s+$', '', 'g') AS code FROM _l)""".replace("{cases}", _CASES)
+_FOREIGN = ", ".join("CASE WHEN regexp_matches(code, '{}') THEN '{}' END".format(p.replace("'", "''"), n) for n, p in scopes.FOREIGN)
+
+
+def _cases(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_CASES).alias("x"))
+
+
+_HIDDEN_SQL = C.HIDDEN.replace("'", "''")
+_STACK = "split_part(a, '#', 1)"
+
+
+@query(f"""WITH {_PROGRAM}, m AS (SELECT *, regexp_extract_all(regexp_replace(code, '{_HIDDEN_SQL}', ' ', 'g'), '{scopes.FUNCTION}|[{{}}]') AS t FROM _p),
+f AS (SELECT *, split_part(list_reduce(['#'] || t, lambda a, x: CASE WHEN x = '}}' THEN left({_STACK}, greatest(length({_STACK}) - 1, 0)) || '#' || split_part(a, '#', 2) WHEN x = '{{' THEN {_STACK} || 'b#' || split_part(a, '#', 2)
+  ELSE {_STACK} || 'f#' || split_part(a, '#', 2) || CASE WHEN contains({_STACK}, 'f') THEN ',nested:' || regexp_extract(x, '{scopes.FUNCTION}', 1) ELSE '' END END), '#', 2) AS nested FROM m)
+SELECT conv_id, turn, ltrim(array_to_string(list_filter([CASE WHEN NOT contains(code, '#include') THEN 'include' END, CASE WHEN NOT contains(code, 'scanf(') THEN 'include:scanf(' END, CASE WHEN NOT regexp_matches(code, '{scopes.MAIN_VOID}') THEN 'main_void' END,
+CASE WHEN NOT contains(code, 'return 0') AND NOT contains(code, 'return(0)') THEN 'return_0' END, CASE WHEN len(string_split(code, '{{')) <> len(string_split(code, '}}')) THEN 'braces' END, CASE WHEN NOT contains(code, 'scanf') THEN 'scanf' END, CASE WHEN NOT contains(code, 'printf') THEN 'printf' END,
+CASE WHEN length(code) < 50 THEN 'too_short' END], lambda x: x IS NOT NULL), ',') || nested, ',') AS issues FROM f""")
+def reference_programs(spark, sf_dir):
+    code = _cases(spark, sf_dir).select("conv_id", "turn", scopes.fenced_program(F.col("x")).alias("code"))
+    return code.select("conv_id", "turn", F.array_join(scopes.reference_issues(F.col("code"), ["scanf("]), ",").alias("issues"))
+
+
+_QUOTED_SQL = scopes.QUOTED.replace("'", "''")
+
+
+@query(f"""WITH {_PROGRAM}, b AS (SELECT *, regexp_replace(code, '{_QUOTED_SQL}', '', 'g') AS bare FROM _p),
+d AS (SELECT *, list_transform(list_filter(string_split(bare, ''), lambda c: c IN ('{{', '}}')), lambda c: CASE WHEN c = '{{' THEN 1 ELSE -1 END) AS s FROM b),
+l AS (SELECT *, list_transform(range(1, len(s) + 1), lambda i: list_sum(s[:i])) AS depths FROM d),
+i AS (SELECT conv_id, turn, list_filter([{_FOREIGN}, CASE WHEN NOT regexp_matches(code, '{scopes.MAIN}') THEN 'main' END, CASE WHEN regexp_matches(code, '{scopes.IO_CALL}') AND NOT contains(code, '#include <stdio.h>') THEN 'stdio' END,
+CASE WHEN coalesce(list_min(depths), 0) < 0 OR coalesce(depths[-1], 0) <> 0 OR regexp_matches(bare, '["'']') THEN 'braces' END,
+CASE WHEN NOT regexp_matches(lower(x), '測試輸入|測試輸出|sample input|sample output|input:|output:|輸入：|輸出：') THEN 'sample' END], lambda x: x IS NOT NULL) AS issues FROM l)
+SELECT conv_id, turn, array_to_string(issues, ',') AS issues, round_even(greatest(0, 1 - 0.15 * len(issues)), 2)::DOUBLE AS score FROM i""")
+def answer_programs(spark, sf_dir):
+    issues, score = scopes.answer_issues(F.col("x"), F.lit(""))
+    return _cases(spark, sf_dir).select("conv_id", "turn", F.array_join(issues, ",").alias("issues"), score.alias("score"))

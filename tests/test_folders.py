@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.operators.files import stream_events
-from tessera.sources import folders, lines, tables
+from tessera.sources import folders, lines, listings, problems, tables
 from tessera.streaming import chunks, sinks
 
 ROW = StructType().add("id", "string").add("n", "long")
@@ -190,3 +190,40 @@ def test_staging_without_a_checkpoint_setting(spark, monkeypatch):
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: default[0] if key == "spark.checkpoint.dir" and default else real(key, *default))
     assert tables.shared_dir(spark) == tables.shared_dir(spark)
     assert sorted(r.id for r in tables.staged(spark.range(3)).collect()) == [0, 1, 2]
+
+
+def test_release_rules(spark):
+    paths = ["a/b.c", "a/.git/x/y.c", "a/.git/z.c", "top/runs/r1/x", "top/runs", "x/top/runs/k", ".git", "q.TMP", "a\\cache\\m.c", "", "cache.c"]
+    df = spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "path string, k int")
+    taken, left = listings.released(df, "path", (".git", "cache"), (".tmp",), {"top/runs": "runs stay"})
+    assert sorted(r.path for r in taken.collect()) == ["a/b.c", "cache.c", "x/top/runs/k"] and taken.columns == ["path", "k"]
+    assert {(r.path, r.reason) for r in left.collect()} == {("a/.git", "development or cache"), ("top/runs", "runs stay"), (".git", "development or cache"), ("q.TMP", "suffix .tmp"), ("a/cache", "development or cache")}
+
+
+def test_report_index_reads_no_content(spark, place):
+    for name in ("one/Benchmark_Summary.json", "one/deep/x.MD", "two/routing.jsonl", "one/skip.txt"):
+        (place / name).parent.mkdir(parents=True, exist_ok=True)
+        (place / name).write_text("abc")
+    df = listings.report_index(spark, {"first": (f"{place}/one", ["t"]), "second": (f"file:{place}/two", [])})
+    assert {(r.report_type, Path(r.path).name, r["size"], tuple(r.tags)) for r in df.collect()} == {
+        ("first", "Benchmark_Summary.json", 3, ("benchmark", "summary", "t")), ("first", "x.MD", 3, ("t",)), ("second", "routing.jsonl", 3, ("routing",)),
+    }
+    scan = df._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scan and "path:string" in scan
+    (place / "two/routing.jsonl").touch()
+    assert Path(listings.latest(listings.listing(spark, str(place))).first().path).name == "routing.jsonl"
+
+
+def test_problem_files_appear_together_or_not_at_all(spark, place):
+    schema = "task_id string, topic string, difficulty string, prompt string, solution string"
+    rows = [("a/b", "t", "easy", "p1", "int x;"), ("a b", None, None, "p2", None), ("a_b", None, None, "p3", " "), ("a_b_2", None, None, "p4", ""), (None, None, None, "p5", None), ("empty", None, None, " ", None), ("..", None, None, "p6", None)]
+    problems.write_problems(spark, spark.createDataFrame(rows, schema), f"{place}/out")
+    names = {"a_b.md", "a_b_2.md", "a_b_3.md", "a_b_2~.md", "unnamed.md", "unnamed_2.md"}
+    assert {p.name for p in (place / "out").iterdir()} == names
+    assert (place / "out/a_b_3.md").read_text() == "# a_b\n\n## Problem\n\np3\n" and (place / "out/a_b_2.md").read_text().startswith("# a/b\n\n- Topic: t\n- Difficulty: easy\n\n## Problem")
+    bad = spark.createDataFrame(rows, schema).withColumn("prompt", F.when(F.col("task_id") == "a_b_2", F.raise_error(F.lit("no")).cast("string")).otherwise(F.col("prompt")))
+    with pytest.raises(Exception, match="no"):
+        problems.write_problems(spark, bad, f"{place}/out")
+    assert {p.name for p in (place / "out").iterdir()} == names
+    problems.write_problems(spark, spark.createDataFrame(rows[:1], schema), f"{place}/out")
+    assert {p.name for p in (place / "out").iterdir()} == {"a_b.md"}
