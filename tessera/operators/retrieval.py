@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import LINE_ENDS, strip, tokens
 from tessera.operators.dedup import running
+from tessera.operators.search import containing
+from tessera.sources.tables import staged
 
-#: What a query's word is worth in a passage's file name and in its heading.
-FILE_BONUS, HEADING_BONUS = 0.8, 0.6
+#: What a query's word is worth in a passage's file name and in its heading, and the whole query in its file name.
+FILE_BONUS, HEADING_BONUS, WHOLE_BONUS = 0.8, 0.6, 2.0
 
 
 def postings(passages: DataFrame, id_: str, text: str) -> DataFrame:
@@ -21,28 +23,62 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 
 
+def token_frequency(passages: DataFrame, text: str) -> DataFrame:
+    """token, df: in how many passages each token is. A passage's tokens are made distinct in place, so one shuffle of
+    tokens that are counted before it is enough."""
+    return document_frequency(passages.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")))
+
+
+def named_parts(q: DataFrame, whole: DataFrame, names: DataFrame) -> DataFrame:
+    """query, passage, part: what a passage gets for its file name and heading, by the query's tokens in them and, for the file
+    name, by the query as a whole. q: query, token; whole: query, words; names: passage, file, heading, in lower case."""
+    parts = []
+    for column, bonus in (("file", FILE_BONUS), ("heading", HEADING_BONUS)):
+        texts = names.select(F.col(column).alias("t")).where("t <> ''").distinct()
+        held = q.join(containing(q, "token", texts, "t", "t"), "token").select("query", "t")
+        if column == "file":
+            asked = whole.join(containing(whole, "words", texts, "t", "t"), "words").select("query", "t", F.lit(WHOLE_BONUS).alias("part"))
+        found = held.withColumn("part", F.lit(bonus))
+        parts.append((found.unionByName(asked) if column == "file" else found).join(names, F.col("t") == F.col(column)).select("query", "passage", "part"))
+    return parts[0].unionByName(parts[1])
+
+
 def search(index: DataFrame, n_passages: int, queries: DataFrame, id_: str, text: str, k: int = 5, names: DataFrame | None = None) -> DataFrame:
     """The k best passages of each query: query, rank, passage, score. Ties go to the smaller passage.
 
     A query's words meet their postings by an equi-join; a word's weight falls with the passages that have it,
-    as does what each further occurrence adds. names (passage, file, heading, in lower case) adds what a query
-    gets for words in them, to passages that share a word with it: a passage's file and heading are among its
-    indexed words, so only parts of longer words are left out.
-
-    Words of very many passages carry little weight but most rows: their postings are added up before they meet
-    the queries, and a query's rows per passage are summed map-side before the shuffle."""
-    q = queries.select(F.col(id_).alias("query"), F.explode(tokens(F.col(text))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("weight"))
-    hits = index.join(q.select("token").distinct(), "token", "left_semi")
-    df = document_frequency(hits)
+    as does what each further occurrence adds. names (passage, file, heading, in lower case) adds what a query gets for its words, or
+    itself, in them, whether the passage's text has a word or not. A query without words finds nothing.
+
+    Postings of the queries' words are staged once. Words of very many passages carry little weight but most rows: a query's
+    heavier words give its k-th best score at least, and words that together can't reach it are only added up for passages
+    that another word has found."""
+    asked = queries.select(F.col(id_).alias("query"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("words"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    q = asked.select("query", F.explode("t").alias("token")).groupBy("query", "token").agg(F.count("*").alias("weight"))
+    hits = staged(index.join(q.select("token").distinct(), "token", "left_semi"))
     idf = F.ln((F.lit(n_passages) + 1) / (F.col("df") + 0.5)) + 1.0
-    weights = q.join(df, "token").select("query", "token", (F.col("weight") * idf).alias("w"))
-    part = F.col("w") * F.col("tf") / (F.col("tf") + 1.2)
+    by_weight = Window.partitionBy("query").orderBy(F.desc("w"), "token")
+    rest = F.sum("w").over(by_weight.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    weights = q.join(document_frequency(hits), "token").select("query", "token", (F.col("weight") * idf).alias("w"))
+    weights = staged(weights.withColumns({"rest": rest, "all": F.sum("w").over(Window.partitionBy("query"))}))
+
+    def scored(some: DataFrame) -> DataFrame:
+        return hits.join(some.select("query", "token", "w"), "token").select("query", "passage", (F.col("w") * F.col("tf") / (F.col("tf") + 1.2)).alias("part"))
+
+    total = lambda parts: parts.groupBy("query", "passage").agg(F.sum("part").alias("part"))
+    order = Window.partitionBy("query").orderBy(F.desc("part"), "passage")
+    nth = total(scored(weights.where(F.col("rest") * 2 > F.col("all")))).withColumn("n", F.row_number().over(order)).where(F.col("n") == k)
+    least = nth.select("query", F.col("part").alias("least"))
+    # scores are rounded to four digits, so words count as weak only if they stay below by more than that
+    marked = staged(weights.join(least, "query", "left").withColumn("weak", F.coalesce(F.col("rest") < F.col("least") - 0.001, F.lit(False))))
+    strong = scored(marked.where("NOT weak"))
     if names is not None:
-        hits = hits.join(names, "passage")
-        part = part + F.when(F.contains("file", F.col("token")), FILE_BONUS).otherwise(0.0) + F.when(F.contains("heading", F.col("token")), HEADING_BONUS).otherwise(0.0)
-    total = hits.join(weights, "token").groupBy("query", "passage").agg(F.bround(F.sum(part), 4).alias("score")).where("score > 0")
+        strong = strong.unionByName(named_parts(q.select("query", "token"), asked.select("query", "words"), names))
+    found = staged(total(strong))
+    more = scored(marked.where("weak")).join(found.select("query", "passage"), ["query", "passage"], "left_semi")
+    best = total(found.unionByName(more)).withColumn("score", F.bround("part", 4)).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "passage"))
-    return total.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("query", "rank", "passage", "score")
+    return best.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("query", "rank", "passage", "score")
 
 
 def pack_context(ranked: DataFrame, group: str, rank: str, length: str, budget: int) -> DataFrame:

@@ -45,7 +45,7 @@ _POSTINGS = f"WITH t AS (SELECT doc_id AS passage, unnest({_TOKENS}) AS token FR
 
 @query(f"{_POSTINGS} SELECT token, count(*) AS df FROM i GROUP BY token")
 def document_frequency(spark, sf_dir):
-    return retrieval.document_frequency(retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return retrieval.token_frequency(table(spark, sf_dir, "documents"), "text")
 
 
 @query(f"""{_POSTINGS}, q AS (SELECT item_id AS query, token, count(*) AS weight FROM (SELECT item_id, unnest({_TOKENS}) AS token FROM benchmark) GROUP BY ALL),
@@ -57,6 +57,22 @@ def search_passages(spark, sf_dir):
     return retrieval.search(retrieval.postings(docs, "doc_id", "text"), docs.count(), table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+@query(f"""{_POSTINGS}, b AS (SELECT item_id AS query, lower(split_part(text, ' ', 1)) AS first, CASE WHEN item_id % 3 = 0 THEN left(split_part(text, ' ', 2), 2) ELSE text END AS text FROM benchmark),
+t2 AS (SELECT query, unnest({_TOKENS}) AS token FROM b), q AS (SELECT query, token, count(*) AS weight FROM t2 GROUP BY ALL),
+f AS (SELECT token, count(*) AS df FROM i GROUP BY token), n AS (SELECT count(*) AS n FROM documents), p AS (SELECT doc_id AS passage, lower(source || '_' || lang || left(text, 3)) AS file, lower(left(text, 20)) AS heading FROM documents),
+s AS (SELECT query, passage, weight * (ln((n + 1) / (df + 0.5)) + 1) * tf / (tf + 1.2::DOUBLE) AS x FROM q JOIN i USING (token) JOIN f USING (token), n
+  UNION ALL SELECT query, passage, 0.8 FROM q JOIN p ON contains(file, token) UNION ALL SELECT query, passage, 0.6 FROM q JOIN p ON contains(heading, token) UNION ALL SELECT query, passage, 2 FROM b JOIN p ON contains(file, lower(b.text)) WHERE b.text <> ''),
+r AS (SELECT query, passage, round_even(sum(x), 4) AS score FROM s GROUP BY ALL)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, passage) AS rank, passage, score FROM r WHERE score > 0 QUALIFY rank <= 5""")
+def search_named_passages(spark, sf_dir):
+    """Half of the queries are short and stand in file names."""
+    docs = table(spark, sf_dir, "documents")
+    names = docs.select(F.col("doc_id").alias("passage"), F.lower(F.concat("source", F.lit("_"), "lang", F.substring("text", 1, 3))).alias("file"), F.lower(F.substring("text", 1, 20)).alias("heading"))
+    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    queries = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, F.substring(word(2), 1, 2)).otherwise(F.col("text")).alias("text"))
+    return retrieval.search(retrieval.postings(docs, "doc_id", "text"), docs.count(), queries, "item_id", "text", names=names)
+
+
 @query("SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 6000")
 def pack_context(spark, sf_dir):
     return retrieval.pack_context(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 6000).select("source", "doc_id", "used")
