@@ -30,8 +30,9 @@ from .shingles import mixed, windows
 
 #: Template tokens in a window; tokens on one alignment that make a document contaminated (all of a shorter item).
 WINDOW, RUN = 6, 12
-#: Of the tokens of a stretch that isn't verbatim, so many at least must be words, not placeholders.
-MIN_WORDS = 4
+#: Of the tokens of a stretch that isn't verbatim, so many at least must be words, not placeholders; of an item shorter
+#: than a run, which must be there whole.
+MIN_WORDS, MIN_WORDS_SHORT = 4, 3
 #: Template tokens of the benchmark that are broadcast at a time.
 BLOCK_TOKENS = 500_000
 #: Unit words and signs.
@@ -40,6 +41,13 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years $ € £ usd eur gbp dollar dollars euro euros cent cents "
     "% percent degree degrees °c °f c f k kph mph km/h m/s w kw kwh v j n pa hz".split()
 )
+#: Units that are other words as well, and count as units behind a number only; number words.
+AMBIGUOUS = frozenset("in second k n s h m f v j t g w pa mi l min sec yd c".split())
+NUMBERS = frozenset(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
+#: A number and a unit in one word.
+_ATTACHED = re.compile(r"([^\w$€£]*[$€£]?[0-9]+(?:[.,/][0-9]+)*)([a-zA-Z°%/]+)(\W*)")
 _WORD = re.compile(r"\w+(?:[.,/'’]\w+)*|[%$€£]")
 _NUMBER = re.compile(r"[0-9]+(?:[.,/][0-9]+)*")
 _ENDS = (".", "!", "?", ":")
@@ -56,17 +64,26 @@ class Canon:
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.table = [np.zeros(1024, t) for t in (np.uint64, np.int8, np.uint64, np.int8, np.uint64, bool)]
+        self.pairs: dict[int, tuple[str, str]] = {}
+        self.table = [np.zeros(1024, t) for t in (np.uint64, np.int8, np.uint64, np.int8, np.uint64, bool, np.int8)]
 
     def _add(self, word: str) -> None:
-        """Number a word and keep its hash and type at a start, its hash and type within, its own hash, whether it ends a sentence."""
-        core = "".join(_WORD.findall(word))
-        low = core.lower()
+        """Number a word and keep its hash and type at a start, its hash and type within, its own hash, whether it ends a
+        sentence, and what its place decides: 1 a number word, 2 a unit behind a number only, 3 a number and a unit in one."""
+        parts = _WORD.findall(word)
+        core = "".join(parts)
+        low, extra = core.lower(), 0
+        attached = _ATTACHED.fullmatch(word)
         plain = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
         if _NUMBER.fullmatch(core) or core[:1] in "$€£" and _NUMBER.fullmatch(core[1:] or "-"):
             start = within = (_NUM, _NUM)
+        elif attached and attached[2].lower() in UNITS:
+            start, within, extra = (plain, _PLAIN), (plain, _PLAIN), 3
+            self.pairs[len(self.ids)] = attached[1], attached[2] + attached[3]
+        elif parts and all(p.lower() in NUMBERS for p in parts):
+            start, within, extra = (_NUM, _NUM), (_NUM, _NUM), 1
         elif low in UNITS:
-            start = within = (_UNIT, _UNIT)
+            start, within, extra = (_UNIT, _UNIT), (_UNIT, _UNIT), 2 * (low in AMBIGUOUS)
         elif core[:1].isupper():
             start, within = (plain, _PLAIN), (_NAME, _NAME)
         else:
@@ -74,27 +91,49 @@ class Canon:
         self.ids[word] = n = len(self.ids)
         if n == len(self.table[0]):
             self.table = [np.concatenate([x, np.zeros_like(x)]) for x in self.table]
-        for x, v in zip(self.table, (*start, *within, plain, word.endswith(_ENDS)), strict=True):
+        for x, v in zip(self.table, (*start, *within, plain, word.endswith(_ENDS), extra), strict=True):
             x[n] = v
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hashes, slot types and own hashes of a text's words, those without letters or digits left out."""
-        parts = text.split()
-        if len(self.ids) > self.LIMIT:
-            self._clear()
+    def _numbers(self, parts: list[str]) -> np.ndarray:
         ids = self.ids
         try:
-            at = np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
+            return np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
         except KeyError:
             for w in parts:
                 if w not in ids:
                     self._add(w)
-            at = np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
-        start_hash, start_type, in_hash, in_type, own, ends = (x[at] for x in self.table)
+            return np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template hashes, slot types and own hashes of a text's words, those without letters or digits left out. A number and
+        a unit in one word are two; of number words in a row the first stands for all; a unit that is another word
+        as well is one behind a number only."""
+        parts = text.split()
+        if len(self.ids) > self.LIMIT:
+            self._clear()
+        at = self._numbers(parts)
+        special = self.table[6][at]
+        if special.any():
+            if (special == 3).any():
+                at = self._numbers([x for k, w in zip(at.tolist(), parts, strict=True) for x in self.pairs.get(k, (w,))])
+            at = at[self.table[0][at] != _EMPTY]  # what has no letter or digit parts nothing
+            special, ends = self.table[6][at], self.table[5][at]
+            again = np.zeros(len(at), bool)
+            again[1:] = (special[1:] == 1) & (special[:-1] == 1) & ~ends[:-1]
+            first = np.nonzero(~again)[0]
+            at, special, ends = at[first], special[first], ends[np.append(first[1:], len(at)) - 1]
+        else:
+            ends = self.table[5][at]
+        start_hash, start_type, in_hash, in_type, own = (x[at] for x in self.table[:5])
         first = np.ones(len(at), bool)
         first[1:] = ends[:-1]
+        hashes, types = np.where(first, start_hash, in_hash), np.where(first, start_type, in_type)
+        if special.any():
+            plain = special == 2
+            plain[1:] &= types[:-1] != _NUM
+            hashes, types = np.where(plain, own, hashes), np.where(plain, _PLAIN, types).astype(np.int8)
         kept = start_hash != _EMPTY
-        out = np.where(first, start_hash, in_hash), np.where(first, start_type, in_type), own
+        out = hashes, types, own
         return out if kept.all() else tuple(x[kept] for x in out)
 
 
@@ -226,7 +265,7 @@ def _found(block: Block, hashes: np.ndarray, types: np.ndarray, own: np.ndarray,
         if len(at) < least:
             continue
         kinds, words, after = item_types[a:b][at], item_own[a:b], np.append(item_hashes[a + 1 : b], 0)
-        s, e = stretch(kinds.tolist(), words[at].tolist(), own[there][at].tolist(), after[at].tolist(), least, min(MIN_WORDS, len(at)))
+        s, e = stretch(kinds.tolist(), words[at].tolist(), own[there][at].tolist(), after[at].tolist(), least, min(MIN_WORDS_SHORT if n < run else MIN_WORDS, len(at)))
         chosen = at[s:e]
         for p, q in _runs(same, least):
             if q - p > len(chosen):
@@ -276,10 +315,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return named.select(doc_id, item_id, "start", "end", "n_matched", "n_slots", "exact")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without those that hold a benchmark item. Rows with a null id stay only if no row with a null id holds one."""
-    leaks = stage(find_leaks(docs, benchmark, doc_id, text, **options).select(F.col(doc_id).alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col("_leak")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs without those that hold a benchmark item. A text decides for itself, so rows that repeat an id, or have none, stay or
+    go by their own text."""
+    key = F.sha2(F.col(text), 256)
+    leaks = stage(find_leaks(docs.select(key.alias("_leak"), text), benchmark, "_leak", text, **options).select("_leak").distinct(), "leaks")
+    return docs.join(leaks, key == F.col("_leak"), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

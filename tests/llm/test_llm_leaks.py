@@ -18,7 +18,8 @@ def template(text):
         core = "".join(d._WORD.findall(w))
         if core:
             low = core.lower()
-            out.append(("NUM" if NUM.fullmatch(core) else "UNIT" if low in d.UNITS else "NAME" if core[0].isupper() and not first else low, low, core[0].isupper()))
+            unit = low in d.UNITS and (low not in d.AMBIGUOUS or bool(out) and out[-1][0] == "NUM")
+            out.append(("NUM" if NUM.fullmatch(core) else "UNIT" if unit else "NAME" if core[0].isupper() and not first else low, low, core[0].isupper()))
         first = w.endswith((".", "!", "?", ":"))
     return out
 
@@ -55,7 +56,7 @@ def passes(doc, item):
                     ok = True
                 if not ok:
                     break
-                if len(part) >= least and sum(item[i][0] not in ("NUM", "UNIT", "NAME") for i in part) >= min(4, len(at)):
+                if len(part) >= least and sum(item[i][0] not in ("NUM", "UNIT", "NAME") for i in part) >= min(4 if len(item) >= 12 else 3, len(at)):
                     return True
     return False
 
@@ -112,7 +113,7 @@ def test_repeated_items_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_TOKENS", 60)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted([(r.doc_id, r.item_id, r.exact, r.start, r.n_slots) for r in d.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()], key=str)
-    assert got == sorted([(i, j, e, 0, 8) for i, e in ((1, False), (1, True), (None, True)) for j in (1, 2, None)], key=str)
+    assert got == sorted([(i, j, e, 0, 6) for i, e in ((1, False), (1, True), (None, True)) for j in (1, 2, None)], key=str)
 
 
 def test_tables_of_figures_cost_little():
@@ -121,3 +122,31 @@ def test_tables_of_figures_cost_little():
     began = time.thread_time()
     assert d._found(block, *canon(" ".join(str(j % 97) + ".5" for j in range(50_000))), 12) == []
     assert time.thread_time() - began < 2
+
+
+def test_rewritten_numbers_and_units(spark):
+    train = "A train goes 60 km in 3 hours from Boston to Paris so how long does it take to go 90 km?"
+    sums = "What is 12 times 7?"
+    docs = [
+        (1, train.replace("60 km in 3 hours", "80km in 4h").replace("90 km", "200km")),
+        (2, train.replace("60 km in 3 hours", "eighty km in four hours").replace("90", "two hundred and")),
+        (3, "then we ask What is 15 times 8? and go on"),
+        (4, "What is fifteen times twenty-five?"),
+        (5, "What is the time in second place of 12 times 7 km?"),
+        (6, train.replace("60 km", "one hundred twenty km").replace("90 km", "three hundred miles")),
+    ]
+    assert pairs(spark, docs, [(1, train), (2, sums)]) == {(1, 1), (2, 1), (3, 2), (4, 2), (6, 1)}
+
+
+def test_number_words_stand_for_one_number():
+    canon = d.Canon()
+    hashes, types, own = canon("Two hundred five. Six in 7 seconds, in all 8in and 3.5%")
+    assert types.tolist() == [d._NUM, d._NUM, d._UNIT, d._NUM, d._UNIT, d._PLAIN, d._PLAIN, d._NUM, d._UNIT, d._PLAIN, d._NUM, d._UNIT]
+    assert len(hashes) == len(own) == len(types)
+
+
+def test_rows_stay_or_go_by_their_own_text(spark):
+    item = "How many litres of water does the old red pump move in 7 hours if it moves 3 litres in a minute"
+    docs = spark.createDataFrame([(1, item), (1, "clean text here"), (None, item), (None, "another clean text"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in d.decontaminate(docs, bench).collect()), key=str) == [(1, "clean text here"), (2, None), (None, "another clean text")]
