@@ -83,12 +83,45 @@ SIDE = (
     "See the GNU General Public License for more details",
     "No part of this work may be reproduced without permission",
 )
+#: Licences that a notice or a tag may name, by SPDX identifier, with other names of theirs. An identifier is a name itself.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT X11", "X11 MIT", "Expat"),
+    "Apache-2.0": ("Apache 2", "Apache License 2.0", "Apache License 2", "Apache License Version 2.0", "Apache Software License 2.0", "Apache v2", "Apache License v2.0", "ASL 2.0"),
+    "BSD-2-Clause": ("2 clause BSD", "simplified BSD", "FreeBSD"),
+    "BSD-3-Clause": ("3 clause BSD", "new BSD", "modified BSD", "revised BSD"),
+    "ISC": (),
+    "Zlib": (),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License Version 1.0"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License Version 2.0", "MPL 2", "MPLv2"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License Version 2.0", "Eclipse Public License v2.0"),
+    "GPL-2.0-only": ("GPL 2.0", "GPL 2", "GPLv2", "GPL v2", "GNU GPL v2", "GNU GPLv2", "GNU General Public License v2.0", "GNU General Public License Version 2"),
+    "GPL-2.0-or-later": ("GPL 2.0+", "GPLv2+", "GPLv2 or later", "GNU General Public License Version 2 or later"),
+    "GPL-3.0-only": ("GPL 3.0", "GPL 3", "GPLv3", "GPL v3", "GNU GPL v3", "GNU GPLv3", "GNU General Public License v3.0", "GNU General Public License Version 3"),
+    "GPL-3.0-or-later": ("GPLv3 or later", "GNU General Public License Version 3 or later"),
+    "LGPL-2.1-only": ("LGPL 2.1", "LGPLv2.1", "GNU LGPL v2.1", "GNU Lesser General Public License Version 2.1"),
+    "LGPL-2.1-or-later": ("LGPLv2.1 or later",),
+    "LGPL-3.0-only": ("LGPL 3.0", "LGPL 3", "LGPLv3", "LGPL v3", "GNU LGPL v3", "GNU Lesser General Public License Version 3"),
+    "LGPL-3.0-or-later": ("LGPLv3 or later",),
+    "AGPL-3.0-only": ("AGPL 3.0", "AGPL 3", "AGPLv3", "AGPL v3", "GNU AGPL v3", "GNU AGPLv3", "GNU Affero General Public License Version 3"),
+    "AGPL-3.0-or-later": ("AGPLv3 or later",),
+    "CC0-1.0": ("CC0",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution ShareAlike 4.0 International",),
+    "Unlicense": (),
+    "0BSD": ("BSD Zero Clause",),
+    "WTFPL": (),
+}
+#: So many unknown sentences in a row part what stands before from what follows: no rule reaches over them.
+GAP = 6
+#: A tag before a licence's name, and what it becomes; a sentence with a slot for names (normalised).
+_TAG, _TAGGED = "(?i)\\b(?:spdx-license-identifier|licen[sc]e)[ \\t]*:[ \\t]+([^\\n]*)", "licensetag "
+_SLOT = "^(?:licensetag|(?:[^ ]+ ){0,8}?(?:dual |double )?(?:licensed|released|distributed|available|published|provided) under) (?:the )?(?:terms of )?(?:the )?(.+?)(?: licen[sc]es?)?(?: (?:see|found in) .*)?$"
 #: What ends a sentence gets a _CUT: copyright lines, marks before white space or the end, lines without letters or digits.
 _CUT, _LINE = "\x02", "\x03"
 _COPYRIGHT = "((?i)(?:^|\\n)[^\\p{L}\\p{N}\\n]*copyright *(?:\\(c\\)|\u00a9|\\[?[0-9]{4}|\\[year)[^\\n]*)"
 _ENDS = ("[.;:!?]+([ \\t\\r\\n]|\\z)", "\\n[^\\p{L}\\p{N}\\n]*\\n")
 #: Each known sentence, and each copyright line that stands before one, has one of these; other texts need no look.
-_HINTS = "(?i)licen[sc]e|permission|warrant|redistribut|rights reserved|free software|unencumbered|as-is|liable|eclipse public|mozilla public"
+_HINTS = "(?i)licen[sc]e|permission|warrant|redistribut|rights reserved|free software|unencumbered|as-is|liable|eclipse public|mozilla public|(?:released|distributed|available|published|provided) under"
 
 
 def normalised(sentence: str) -> str:
@@ -121,18 +154,39 @@ def _tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...], str]]]:
 SENTENCES, RULES = _tables()
 
 
+def _aliases() -> dict[str, str]:
+    """SPDX identifier by normalised name; in names, or later is one word, so that or parts names."""
+    return {normalised(n).replace(" or later", " orlater"): spdx for spdx, others in NAMES.items() for n in (spdx, *others)}
+
+
+ALIASES = _aliases()
+NAME_RULES = [(f"name.{spdx}", (f"name.{spdx}",), spdx) for spdx in NAMES]
+_NONE = "?"
+
+
 def _norm(s: Column) -> Column:
     """Lower case; a dot between two digits stays, all else but letters and digits becomes a space."""
     dots = F.regexp_replace(F.lower(s), "([0-9])\\.([0-9])", "$1\x01$2")
     return F.trim(F.translate(F.regexp_replace(dots, "[^\\p{L}\\p{N}\\x01]+", " "), "\x01", "."))
 
 
+def _named(sentence: Column) -> Column:
+    """Identifiers of the licences that a sentence with a slot names, or the mark of an unknown sentence. In an expression
+    (or, and, with) names that aren't known are passed over."""
+    names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    slot = F.regexp_replace(F.regexp_extract(sentence, _SLOT, 1), " or (?:any )?later(?: version)?", " orlater")
+    parts = F.transform(F.split(slot, " (?:or|and|with) "), lambda x: F.regexp_replace(x, "^the | licen[sc]es?$", ""))
+    found = F.transform(F.filter(parts, lambda x: x.isin(list(ALIASES))), lambda x: F.concat(F.lit("name."), F.element_at(names, x)))
+    hit = F.contains(sentence, F.lit(" under ")) | sentence.startswith(_TAGGED)
+    return F.when(hit & (F.size(found) > 0), found).otherwise(F.array(F.lit(_NONE)))
+
+
 def _identifiers(text: str) -> Column:
-    """Identifiers of the text's known sentences, in order."""
+    """Identifiers of the text's sentences, in order; _NONE for each that isn't known."""
     t = F.coalesce(F.col(text), F.lit(""))
     names = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
     known = lambda s: s.isin(list(SENTENCES))
-    marked = F.regexp_replace(t, _COPYRIGHT, "$1" + _CUT)
+    marked = F.regexp_replace(F.regexp_replace(t, _COPYRIGHT, "$1" + _CUT), _TAG, _CUT + _TAGGED + "$1" + _CUT)
     for ends in _ENDS:
         marked = F.regexp_replace(marked, ends, _CUT)
 
@@ -142,22 +196,26 @@ def _identifiers(text: str) -> Column:
         return F.when(~F.contains(piece, F.lit("\n")) | known(_norm(piece)), piece).otherwise(F.array_join(own, "\n"))
 
     pieces = F.flatten(F.transform(F.split(marked, _CUT, -1), lambda p: F.split(apart(p), _LINE, -1)))
-    ids = F.transform(F.filter(F.transform(pieces, _norm), known), lambda s: F.element_at(names, s))
+    each = F.filter(F.transform(pieces, _norm), lambda s: s != "")
+    ids = F.flatten(F.transform(each, lambda s: F.when(known(s), F.array(F.element_at(names, s))).otherwise(_named(s))))
     return F.when(t.rlike(_HINTS), ids).otherwise(F.array().cast("array<string>"))
 
 
-def license_scan(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def license_scan(df: DataFrame, text: str = "text", rules=RULES + NAME_RULES) -> DataFrame:
     """df without its text, with sentence_ids, rule_ids, licenses (distinct, sorted) and n_unmatched.
 
-    sentence_ids has the known sentences in the text's order, wrapped over lines or not. Rules are tried in their order on the
-    sequence; one that fits takes all the stretches it fits, which later rules no longer see.
+    sentence_ids has the known sentences in the text's order, wrapped over lines or not; a sentence with a slot (licensed under X,
+    License: X, SPDX-License-Identifier: X OR Y) has one of each licence it names. Rules are tried in their order on the
+    sequence; one that fits takes all the stretches it fits, which later rules no longer see; none reaches over GAP unknown sentences.
     n_unmatched is how many known sentences no rule took. Null and empty texts have empty arrays. Rows
     are independent, so repeated rows repeat their result. Columns of df with the new names, or named
     _ids or _m, are replaced.
     """
     keep = [c for c in df.columns if c not in (text, "sentence_ids", "rule_ids", "licenses", "n_unmatched", "_ids", "_m")]
     out = df.withColumn("_ids", _identifiers(text)).select(*keep, "_ids")
-    bracket = lambda ids: F.concat(F.lit("<"), F.array_join(ids, "><"), F.lit(">"))
+    some = F.filter("_ids", lambda x: x != _NONE)
+    whole = F.concat(F.lit("<"), F.array_join("_ids", "><"), F.lit(">"))
+    parted = F.replace(F.regexp_replace(whole, f"(?:<[{_NONE}]>){{{GAP},}}", "<gap>"), F.lit(f"<{_NONE}>"), F.lit(""))
     table_ = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit("<" + "><".join(ids) + ">").alias("ids"), F.lit(lic).alias("license")) for name, ids, lic in rules])
     none = F.array().cast("array<struct<rule:string,license:string>>")
 
@@ -166,15 +224,15 @@ def license_scan(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
         fired = F.when(hit, F.array_append(s["fired"], F.struct(r["rule"].alias("rule"), r["license"].alias("license")))).otherwise(s["fired"])
         return F.struct(F.replace(s["left"], r["ids"], F.lit("|")).alias("left"), fired.alias("fired"))
 
-    state = F.struct(bracket(F.col("_ids")).alias("left"), none.alias("fired"))
+    state = F.struct(parted.alias("left"), none.alias("fired"))
     empty = F.struct(F.lit("").alias("left"), none.alias("fired"))
-    out = out.withColumn("_m", F.when(F.size("_ids") > 0, F.aggregate(table_, state, step)).otherwise(empty))
+    out = out.withColumn("_m", F.when(F.size(some) > 0, F.aggregate(table_, state, step)).otherwise(empty))
     return out.select(
         *keep,
-        F.col("_ids").alias("sentence_ids"),
+        some.alias("sentence_ids"),
         F.col("_m.fired.rule").alias("rule_ids"),
         F.array_sort(F.array_distinct("_m.fired.license")).alias("licenses"),
-        (F.length("_m.left") - F.length(F.replace("_m.left", F.lit("<"), F.lit("")))).cast("long").alias("n_unmatched"),
+        F.regexp_count("_m.left", F.lit("<[^g]|<g[^a]")).cast("long").alias("n_unmatched"),
     )
 
 
@@ -188,27 +246,34 @@ def _sql() -> str:
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     all_ = "[" + ", ".join(f"'{s}'" for s in SENTENCES) + "]"
     steps, last = [], "n"
-    for k, (_, ids, _lic) in enumerate(RULES):
+    for k, (_, ids, _lic) in enumerate(RULES + NAME_RULES):
         pattern = "<" + "><".join(ids) + ">"
         steps.append(f"r{k} AS (SELECT * REPLACE (replace(\"left\", '{pattern}', '|') AS \"left\"), contains(\"left\", '{pattern}') AS f{k} FROM {last})")
         last = f"r{k}"
     fired = lambda k: "list_filter([" + ", ".join(f"CASE WHEN f{i} THEN '{r[k]}' END" for i, r in enumerate(RULES)) + "], lambda x: x IS NOT NULL)"
     norm = lambda x: f"trim(replace(regexp_replace(regexp_replace(lower({x}), '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g'), chr(1), '.'))"
-    marked = f"regexp_replace(coalesce(text, ''), '{_COPYRIGHT}', '\\1' || chr(2), 'g')"
+    marked = f"regexp_replace(regexp_replace(coalesce(text, ''), '{_COPYRIGHT}', '\\1' || chr(2), 'g'), '{_TAG}', chr(2) || '{_TAGGED}\\1' || chr(2), 'g')"
+    alias = ", ".join(f"('{n}', 'name.{i}')" for n, i in ALIASES.items())
     for ends in _ENDS:
         marked = f"regexp_replace({marked}, '{ends}', chr(2), 'g')"
     own = f"list_transform(string_split(p, chr(10)), lambda x: CASE WHEN list_contains({all_}, {norm('x')}) THEN chr(3) || x || chr(3) ELSE x END)"
     return f"""
-WITH known(s, id) AS (VALUES {known}),
+WITH known(s, id) AS (VALUES {known}), alias(s, id) AS (VALUES {alias}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 p AS (SELECT r, i, l[i] AS p FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT r, string_split({marked}, chr(2)) AS l FROM d))),
 o AS (SELECT r, i, string_split(CASE WHEN NOT contains(p, chr(10)) OR {norm('p')} IN (SELECT s FROM known) THEN p ELSE array_to_string({own}, chr(10)) END, chr(3)) AS l FROM p),
 x AS (SELECT r, i, j, {norm('l[j]')} AS s FROM (SELECT r, i, l, unnest(range(1, len(l) + 1)) AS j FROM o)),
-q AS (SELECT r, list(id ORDER BY i, j) AS ids FROM x JOIN known USING (s) GROUP BY r),
-n AS (SELECT doc_id, coalesce(ids, []) AS ids, CASE WHEN ids IS NULL THEN '' ELSE '<' || array_to_string(ids, '><') || '>' END AS "left" FROM d LEFT JOIN q USING (r)),
+e AS (SELECT x.*, id FROM x LEFT JOIN known USING (s) WHERE s <> ''),
+w AS (SELECT r, i, j, unnest(l) AS p, unnest(range(len(l))) AS k FROM (SELECT r, i, j, string_split_regex(regexp_replace(regexp_extract(s, '{_SLOT}', 1), ' or (?:any )?later(?: version)?', ' orlater', 'g'), ' (?:or|and|with) ') AS l
+  FROM e WHERE id IS NULL AND (contains(s, ' under ') OR starts_with(s, '{_TAGGED}')))),
+v AS (SELECT r, i, j, k, alias.id FROM w JOIN alias ON alias.s = regexp_replace(p, '^the | licen[sc]es?$', '', 'g')),
+y AS (SELECT r, i, j, 0 AS k, id FROM e WHERE id IS NOT NULL UNION ALL SELECT * FROM v UNION ALL SELECT r, i, j, 0, '{_NONE}' FROM e WHERE id IS NULL AND NOT EXISTS (SELECT 1 FROM v WHERE v.r = e.r AND v.i = e.i AND v.j = e.j)),
+q AS (SELECT r, list(id ORDER BY i, j, k) AS ids FROM y JOIN d USING (r) WHERE regexp_matches(coalesce(text, ''), '{_HINTS}') GROUP BY r),
+n AS (SELECT doc_id, list_filter(coalesce(ids, []), lambda x: x <> '{_NONE}') AS ids, CASE WHEN len(list_filter(coalesce(ids, []), lambda x: x <> '{_NONE}')) = 0 THEN ''
+  ELSE replace(regexp_replace('<' || array_to_string(ids, '><') || '>', '(?:<[{_NONE}]>){{{GAP},}}', '<gap>', 'g'), '<{_NONE}>', '') END AS "left" FROM d LEFT JOIN q USING (r)),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string({fired(0)}, ',') AS rule_ids, array_to_string(list_sort(list_distinct({fired(2)})), ',') AS licenses,
-       length("left") - length(replace("left", '<', '')) AS n_unmatched FROM {last}"""
+       len(regexp_extract_all("left", '<[^g]|<g[^a]')) AS n_unmatched FROM {last}"""
 
 
 QUERIES = {"op7_license_scan": op7_license_scan}

@@ -53,3 +53,31 @@ def test_numbered_clauses(spark):
 def test_lines_without_marks_and_odd_texts(spark):
     got = scanned(spark, ["prose here\nLicensed under the MIT license\nmore prose", "", None, "MIT\nlicense", "I like the MIT license very much", "Released under the\nApache License, Version 2.0."])
     assert [got[k].rule_ids for k in range(6)] == [["mit_notice"], [], [], ["mit_title"], [], ["apache2_notice"]]
+
+
+@pytest.mark.parametrize(
+    ("text", "licences"),
+    [
+        ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]),
+        ("/* SPDX-License-Identifier: MIT OR Apache-2.0 */", ["Apache-2.0", "MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later WITH Something-else", ["GPL-2.0-or-later"]),
+        ("name: tool\nLicense: MIT\nversion: 3", ["MIT"]),
+        ("Licensed under MIT", ["MIT"]),
+        ("Copyright 2020 Me. Released under the MIT License (see LICENSE).", ["MIT"]),
+        ("This software is distributed under the terms of the GNU General Public License version 3 or later.", ["GPL-3.0-or-later"]),
+        ("Dual licensed under the MIT and GPLv3 licenses.", ["GPL-3.0-only", "MIT"]),
+        ("They were released under heavy rain. License: none of these.", []),
+        ("The game was released under the name of mit in the river", []),
+    ],
+)
+def test_sentences_with_slots(spark, text, licences):
+    assert scanned(spark, [text])[0].licenses == licences
+
+
+def test_no_rule_reaches_over_other_prose(spark):
+    parts = next(t for r, _, t in WHOLE if r == "mit_text").split("\n")
+    prose = "\n\n".join(f"It was day {k} of the trip." for k in range(600))
+    far, near = (f"\n\n{p}\n\n".join(parts) for p in (prose, "A heading of ours."))
+    got = scanned(spark, [far, near])
+    assert "mit_text" not in got[0].rule_ids and got[0].n_unmatched == len(got[0].sentence_ids) == len(got[1].sentence_ids)
+    assert got[1].rule_ids == ["mit_text"] and got[1].n_unmatched == 0
