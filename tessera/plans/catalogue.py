@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import dedup, packaging, retrieval
-from tessera.plans import corpora, evaluation, folders, programs, records, searches, sessions  # noqa: F401
+from tessera.plans import corpora, evaluation, folders, programs, records, reviews, searches, sessions  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL, query  # noqa: F401
 from tessera.sources.tables import table
 from tessera.streaming import best
