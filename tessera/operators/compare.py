@@ -98,10 +98,11 @@ def run_deltas(results: DataFrame, policy: dict = POLICY) -> DataFrame:
         *[change(f"{c}_rate", f"{c}_delta", 3) for c in RATES], change("timeout_rate", "timeout_delta", 3),
     )
     base, new = against_previous(results)
-    tasks = task_deltas(base, new, ("to_run", "id"), "full_outer")
-    both = task_deltas(base, new, ("to_run", "id")).groupBy("to_run").agg(F.count_if(F.col("delta") < -policy["task_drop"]).alias("big_drops"), F.min("delta").alias("largest_drop"))
-    broken = tasks.groupBy("to_run").agg(F.count_if(F.col("base_ok") & ~F.col("new_ok")).alias("newly_broken"))
-    per_run = broken.join(both, "to_run", "left").withColumnRenamed("to_run", "run_id")
+    side = lambda d, p: d.select("to_run", "id", F.coalesce("score", F.lit(0)).alias(f"{p}_score"), F.coalesce("accepted", F.lit(False)).alias(f"{p}_ok"))
+    tasks = side(base, "base").join(side(new, "new"), ["to_run", "id"], "full_outer").withColumn("delta", F.col("new_score") - F.col("base_score"))  # null for a task of one run only
+    per_run = tasks.groupBy(F.col("to_run").alias("run_id")).agg(
+        F.count_if(F.coalesce("base_ok", F.lit(False)) & ~F.coalesce("new_ok", F.lit(False))).alias("newly_broken"), F.count_if(F.col("delta") < -policy["task_drop"]).alias("big_drops"), F.min("delta").alias("largest_drop")
+    )
     return delta.join(per_run, "run_id", "left").na.fill(0, ["newly_broken", "big_drops"])
 
 

@@ -28,11 +28,18 @@ def duplicates(df: DataFrame, key: str, line: str) -> DataFrame:
     return df.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").where(F.col(line) > F.col("first_line"))
 
 
+#: Rows of a key up to which one window takes the key as a whole; beyond, its rows are spread over tasks. Both give the same.
+WHOLE_KEY = 1_000_000
+
+
 def running(df: DataFrame, key: str, order: str, value: str, how) -> DataFrame:
     """df with _before: the aggregate how (F.sum or F.max) of value over the key's rows before each, null for the first.
 
-    Rows are range-partitioned by (key, order), so one key's rows may span tasks; what a key had in the partitions
-    before comes from one row per key and partition."""
+    Where a key has very many rows, they are range-partitioned by (key, order), so one key's rows may span tasks; what a key
+    had in the partitions before comes from one row per key and partition."""
+    most = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if most <= WHOLE_KEY:
+        return df.withColumn("_before", how(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
     parts = staged(df.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
     ends = parts.groupBy(key, "_part").agg(how(value).alias("_all"))
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

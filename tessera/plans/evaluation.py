@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import compare, failures, metrics, verdicts
 from tessera.plans.registry import query
-from tessera.sources.tables import EVAL_SQL, eval_results
+from tessera.sources.tables import EVAL_SQL, eval_results, staged
 
 _S = "coalesce(score, 0)"
 _SUMMARY = f"count(*) AS n, count(*) FILTER (accepted) AS n_accepted, round_even(avg({_S}), 1) AS avg_score"
@@ -155,7 +155,7 @@ def delta_by_topic(spark, sf_dir):
 
 @query(f"{_DELTAS}, {_VERDICT} SELECT * FROM v")
 def regression_verdicts(spark, sf_dir):
-    return compare.regressions(eval_results(spark, sf_dir))
+    return compare.regressions(staged(eval_results(spark, sf_dir)))
 
 
 @query(f"{_RUNS} SELECT model, run_id, previous_run FROM p")
@@ -223,7 +223,7 @@ b2 AS (SELECT run_id, verdict, CASE WHEN NOT held OR runtime_delta <= -0.5 OR lo
 
 @query(f"{_DELTAS}, {_VERDICT}, {_ADAPTER} SELECT run_id, status, CASE WHEN status IN ('promote', 'safe_no_change') AND verdict = 'regression' THEN 'reject' WHEN status IN ('promote', 'safe_no_change') AND verdict = 'manual_review' THEN 'ablation_only' ELSE status END AS guarded FROM b2")
 def adapter_decisions(spark, sf_dir):
-    d = compare.regressions(eval_results(spark, sf_dir)).where("previous_run IS NOT NULL").withColumn("min_task_delta", F.col("largest_drop"))
+    d = compare.regressions(staged(eval_results(spark, sf_dir))).where("previous_run IS NOT NULL").withColumn("min_task_delta", F.col("largest_drop"))
     d = d.withColumn("status", verdicts.adapter_status())
     return d.select("run_id", "status", verdicts.guarded(F.col("status"), F.col("verdict")).alias("guarded"))
 
