@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one
     with the smallest doc_id; of rows that repeat that id, one. Documents without an id stay."""
-    groups = jaccard_components(docs, n=5, percent=80).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    groups = jaccard_components(docs, n=5, percent=80).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
