@@ -320,7 +320,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
     go by their own text."""
     key = F.sha2(F.col(text), 256)
     leaks = stage(find_leaks(docs.select(key.alias("_leak"), text), benchmark, "_leak", text, **options).select("_leak").distinct(), "leaks")
-    return docs.join(leaks, key == F.col("_leak"), "left_anti")
+    return docs.join(leaks, key == leaks["_leak"], "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
