@@ -51,13 +51,15 @@ _ATTACHED = re.compile(r"([^\w$€£]*[$€£]?[0-9]+(?:[.,/][0-9]+)*)([a-zA-Z°
 _WORD = re.compile(r"\w+(?:[.,/'’]\w+)*|[%$€£]")
 _NUMBER = re.compile(r"[0-9]+(?:[.,/][0-9]+)*")
 _ENDS = (".", "!", "?", ":")
+#: Marks that stand around words and aren't part of them.
+_AROUND = ".,;:!?\"'()[]{}-"
 _NUM, _NAME, _UNIT, _PLAIN = 1, 2, 3, 0
 
 
 class Canon:
     """Template tokens of texts. Words are kept with what they become at a sentence's start and within one."""
 
-    LIMIT = 200_000
+    LIMIT = 400_000
 
     def __init__(self) -> None:
         self._clear()
@@ -70,29 +72,35 @@ class Canon:
     def _add(self, word: str) -> None:
         """Number a word and keep its hash and type at a start, its hash and type within, its own hash, whether it ends a
         sentence, and what its place decides: 1 a number word, 2 a unit behind a number only, 3 a number and a unit in one."""
-        parts = _WORD.findall(word)
-        core = "".join(parts)
-        low, extra = core.lower(), 0
-        attached = _ATTACHED.fullmatch(word)
-        plain = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
-        if _NUMBER.fullmatch(core) or core[:1] in "$€£" and _NUMBER.fullmatch(core[1:] or "-"):
-            start = within = (_NUM, _NUM)
-        elif attached and attached[2].lower() in UNITS:
-            start, within, extra = (plain, _PLAIN), (plain, _PLAIN), 3
-            self.pairs[len(self.ids)] = attached[1], attached[2] + attached[3]
-        elif parts and all(p.lower() in NUMBERS for p in parts):
-            start, within, extra = (_NUM, _NUM), (_NUM, _NUM), 1
-        elif low in UNITS:
-            start, within, extra = (_UNIT, _UNIT), (_UNIT, _UNIT), 2 * (low in AMBIGUOUS)
-        elif core[:1].isupper():
-            start, within = (plain, _PLAIN), (_NAME, _NAME)
-        else:
-            start = within = (plain, _PLAIN)
-        self.ids[word] = n = len(self.ids)
+        core, n, ends = word.strip(_AROUND), len(self.ids), word.endswith(_ENDS)
+        self.ids[word] = n
         if n == len(self.table[0]):
             self.table = [np.concatenate([x, np.zeros_like(x)]) for x in self.table]
-        for x, v in zip(self.table, (*start, *within, plain, word.endswith(_ENDS), extra), strict=True):
-            x[n] = v
+        start_hash, start_type, in_hash, in_type, own, last, special = self.table
+        if ends:
+            last[n] = True
+        parts = None
+        if not core.isalpha():  # a word of letters alone needs no closer look
+            parts = _WORD.findall(word)
+            core = "".join(parts)
+        low = core.lower()
+        own[n] = plain = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
+        start_hash[n] = in_hash[n] = plain
+        if low in AMBIGUOUS:
+            special[n] = 2
+        attached = parts and _ATTACHED.fullmatch(word)
+        if parts and (_NUMBER.fullmatch(core) or core[:1] in "$€£" and _NUMBER.fullmatch(core[1:] or "-")):
+            start_hash[n] = start_type[n] = in_hash[n] = in_type[n] = _NUM
+        elif attached and attached[2].lower() in UNITS:
+            special[n] = 3
+            self.pairs[n] = attached[1], attached[2] + attached[3]
+        elif low in NUMBERS or parts and all(p.lower() in NUMBERS for p in parts):
+            start_hash[n] = start_type[n] = in_hash[n] = in_type[n] = _NUM
+            special[n] = 1
+        elif low in UNITS and low not in AMBIGUOUS:
+            start_hash[n] = start_type[n] = in_hash[n] = in_type[n] = _UNIT
+        elif core[:1].isupper():
+            in_hash[n] = in_type[n] = _NAME
 
     def _numbers(self, parts: list[str]) -> np.ndarray:
         ids = self.ids
@@ -112,29 +120,27 @@ class Canon:
         if len(self.ids) > self.LIMIT:
             self._clear()
         at = self._numbers(parts)
-        special = self.table[6][at]
-        if special.any():
-            if (special == 3).any():
-                at = self._numbers([x for k, w in zip(at.tolist(), parts, strict=True) for x in self.pairs.get(k, (w,))])
+        special, ends = self.table[6][at], self.table[5][at]
+        if (special & 1).any():
+            at = self._numbers([x for k, w in zip(at.tolist(), parts, strict=True) for x in self.pairs.get(k, (w,))])
             at = at[self.table[0][at] != _EMPTY]  # what has no letter or digit parts nothing
             special, ends = self.table[6][at], self.table[5][at]
             again = np.zeros(len(at), bool)
             again[1:] = (special[1:] == 1) & (special[:-1] == 1) & ~ends[:-1]
-            first = np.nonzero(~again)[0]
-            at, special, ends = at[first], special[first], ends[np.append(first[1:], len(at)) - 1]
-        else:
-            ends = self.table[5][at]
+            one = np.nonzero(~again)[0]
+            at, special, ends = at[one], special[one], ends[np.append(one[1:], len(at)) - 1]
         start_hash, start_type, in_hash, in_type, own = (x[at] for x in self.table[:5])
         first = np.ones(len(at), bool)
         first[1:] = ends[:-1]
         hashes, types = np.where(first, start_hash, in_hash), np.where(first, start_type, in_type)
-        if special.any():
-            plain = special == 2
-            plain[1:] &= types[:-1] != _NUM
-            hashes, types = np.where(plain, own, hashes), np.where(plain, _PLAIN, types).astype(np.int8)
         kept = start_hash != _EMPTY
-        out = hashes, types, own
-        return out if kept.all() else tuple(x[kept] for x in out)
+        if not kept.all():
+            hashes, types, own, special = hashes[kept], types[kept], own[kept], special[kept]
+        behind = np.nonzero(types[:-1] == _NUM)[0] + 1
+        if len(behind):
+            unit = behind[special[behind] == 2]
+            hashes[unit], types[unit] = _UNIT, _UNIT
+        return hashes, types, own
 
 
 _EMPTY = np.uint64(xxhash.xxh3_64_intdigest(b""))
