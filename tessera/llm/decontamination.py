@@ -35,6 +35,8 @@ WINDOW, RUN = 6, 12
 MIN_WORDS, MIN_WORDS_SHORT = 4, 3
 #: Template tokens of the benchmark that are broadcast at a time.
 BLOCK_TOKENS = 500_000
+#: Hashes of leaking texts (32 bytes each) that may be broadcast; beyond, they and the documents are joined by shuffle.
+BROADCAST_LEAKS = 500_000
 #: Unit words and signs.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz pound pounds ounce ounces ml l litre litres liter liters gallon gallons "
@@ -324,9 +326,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs without those that hold a benchmark item. A text decides for itself, so rows that repeat an id, or have none, stay or
     go by their own text."""
-    key = F.sha2(F.col(text), 256)
+    key = F.unhex(F.sha2(F.col(text), 256))
     leaks = stage(find_leaks(docs.select(key.alias("_leak"), text), benchmark, "_leak", text, **options).select("_leak").distinct(), "leaks")
-    return docs.join(leaks, key == leaks["_leak"], "left_anti")
+    few = F.broadcast(leaks) if leaks.count() <= BROADCAST_LEAKS else leaks
+    return docs.join(few, key == leaks["_leak"], "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
