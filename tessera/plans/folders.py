@@ -118,7 +118,10 @@ def staged_items(spark, sf_dir):
     of = {"inbox": F.col("s_suppkey") % 2 == 0, "in_review": F.col("s_suppkey") % 3 == 0, "approved": F.lit(True)}
     places = F.filter(F.array(*[F.when(of[x], x) for x in STAGES]), lambda x: x.isNotNull())
     path = _place(spark, "stages")
-    s.select(F.explode(places).alias("stage"), F.to_json(F.struct(F.col("s_suppkey").alias("id"), "s_name"), {"pretty": "true"}).alias("value")).write.partitionBy("stage").option("maxRecordsPerFile", 1).text(path)
+    # some 1,000 items in each file, so that files grow with the items' bytes and not one by one
+    part = F.pmod(F.xxhash64("s_suppkey"), F.lit(s.count() // 1000 + 1))
+    listed = s.select(F.explode(places).alias("stage"), part.alias("part"), F.struct(F.col("s_suppkey").alias("id"), "s_name").alias("item")).groupBy("stage", "part").agg(F.collect_list("item").alias("items"))
+    listed.select("stage", F.to_json("items", {"pretty": "true"}).alias("value")).write.partitionBy("stage").option("maxRecordsPerFile", 1).text(path)
     items = folders.staged_items(spark, path, [f"stage={x}" for x in STAGES], StructType().add("id", "long").add("s_name", "string"), "*.txt")
     n = items.groupBy("id").agg(F.count("*").cast("int").alias("stages"))
     return folders.first_stage(items, STAGES, "id").join(n, "id").select("id", F.col("_stage").alias("stage"), "stages")

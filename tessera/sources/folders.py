@@ -133,7 +133,7 @@ def adapter_registry(spark: SparkSession, folder: str, schema: StructType) -> Da
 
 
 def staged_items(spark: SparkSession, root: str, stages: Sequence[str], schema: StructType, files: str = "*.json") -> DataFrame:
-    """Items of all stages (one object in each of the files below root/<stage>) with _stage; files that can't be read are left out."""
+    """Items of all stages (an object, or a list of them, in each of the files below root/<stage>) with _stage; files that can't be read are left out."""
     rows = _read(spark, [f"{root}/{s}" for s in stages], schema, pathGlobFilter=files, recursiveFileLookup=True).where(F.col(_BAD).isNull())
     return rows.select(*schema.fieldNames(), _part(F.col("_path"), 2).alias("_stage"), "_path")
 

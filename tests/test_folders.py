@@ -227,3 +227,13 @@ def test_problem_files_appear_together_or_not_at_all(spark, place):
     assert {p.name for p in (place / "out").iterdir()} == names
     problems.write_problems(spark, spark.createDataFrame(rows[:1], schema), f"{place}/out")
     assert {p.name for p in (place / "out").iterdir()} == {"a_b.md"}
+
+
+def test_staged_items_come_in_lists(spark, small, tmp_path, monkeypatch):
+    """Files don't grow one by one with the items, and a list in a file gives a row for each of its items."""
+    from tessera.plans import folders as plans
+
+    monkeypatch.setattr(plans, "_place", lambda spark, name: f"{tmp_path}/{name}")
+    suppliers = spark.read.parquet(f"{small}/supplier.parquet").count()
+    assert plans.staged_items(spark, small).count() == suppliers > 3
+    assert len(list(tmp_path.glob("stages/stage=*/*.txt"))) == 3
