@@ -237,3 +237,12 @@ def test_staged_items_come_in_lists(spark, small, tmp_path, monkeypatch):
     suppliers = spark.read.parquet(f"{small}/supplier.parquet").count()
     assert plans.staged_items(spark, small).count() == suppliers > 3
     assert len(list(tmp_path.glob("stages/stage=*/*.txt"))) == 3
+
+
+def test_reports_are_written_by_many_tasks(spark, small, tmp_path, monkeypatch):
+    from tessera.plans import folders as plans
+
+    monkeypatch.setattr(plans, "_place", lambda spark, name: f"{tmp_path}/{name}")
+    suppliers = spark.read.parquet(f"{small}/supplier.parquet").count()
+    assert sum(r.files for r in plans.report_listing(spark, small).collect()) == suppliers
+    assert len({p.name.split("-")[1] for p in tmp_path.glob("reports/kind=*/*.txt")}) > 1
